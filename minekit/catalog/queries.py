@@ -22,7 +22,7 @@ from minekit.sources import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-TRIP_FEATURES = ["l_extendedprice", "l_discount", "l_tax", "day_of_week", "l_linenumber"]
+TRIP_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "day_of_week", "l_linenumber"]
 TRIP_KEYS = ["l_orderkey", "l_linenumber"]
 QUANTITY_BINS = 64  # at least one split candidate per quantity 1..50
 # The six months of the wide prediction output.
@@ -340,9 +340,8 @@ def wide_prediction(spark: SparkSession, sf: str) -> DataFrame:
 def dt_classify(spark: SparkSession, sf: str) -> DataFrame:
     """The class is a step function of one feature, so a deep enough tree learns it exactly."""
     trips = t.trips(spark, sf)
-    features = ["l_quantity", *TRIP_FEATURES]
     found = models.fit_supervised(
-        trips, "dt_class", features, "duration_bin", TRIP_KEYS, folds=2, maxBins=QUANTITY_BINS
+        trips, "dt_class", TRIP_FEATURES, "duration_bin", TRIP_KEYS, folds=2, maxBins=QUANTITY_BINS
     )
     scored = models.score(found.model, trips)
     return scored.groupBy(
@@ -354,8 +353,7 @@ def dt_classify(spark: SparkSession, sf: str) -> DataFrame:
 def _steps(spark: SparkSession, sf: str, kind: str, grid: dict[str, list]) -> DataFrame:
     """Fit a step function of one feature and report the learned steps."""
     trips = t.trips(spark, sf).withColumn("level", F.col("duration_bin") * 100.0)
-    features = ["l_quantity", *TRIP_FEATURES]
-    found = models.fit_supervised(trips, kind, features, "level", TRIP_KEYS, grid, folds=2, maxBins=QUANTITY_BINS)
+    found = models.fit_supervised(trips, kind, TRIP_FEATURES, "level", TRIP_KEYS, grid, folds=2, maxBins=QUANTITY_BINS)
     scored = models.score(found.model, trips)
     return scored.groupBy(
         "level", F.round("prediction", 3).alias("prediction")
@@ -373,9 +371,9 @@ def gbt_regress(spark: SparkSession, sf: str) -> DataFrame:
 def _held_out(spark: SparkSession, sf: str, kind: str, grid: dict[str, list], folds: int) -> DataFrame:
     """Search on 70 %, report the error on the other 30 %."""
     train, test = prep.hash_split(t.trips(spark, sf), TRIP_KEYS, 0.7)
-    found = models.fit_supervised(train, kind, TRIP_FEATURES, "l_quantity", TRIP_KEYS, grid, folds)
+    found = models.fit_supervised(train, kind, TRIP_FEATURES, "amount", TRIP_KEYS, grid, folds)
     scored = models.score(found.model, test)
-    return metrics.metrics_long(metrics.regression_metrics(scored, "l_quantity"), kind)
+    return metrics.metrics_long(metrics.regression_metrics(scored, "amount"), kind)
 
 
 def rf_regress(spark: SparkSession, sf: str) -> DataFrame:
@@ -388,12 +386,12 @@ def linreg_cv(spark: SparkSession, sf: str) -> DataFrame:
 
 def cv_select(spark: SparkSession, sf: str) -> DataFrame:
     return models.fit_supervised(
-        t.trips(spark, sf), "dt", TRIP_FEATURES, "l_quantity", TRIP_KEYS, {"maxDepth": [5, 8]}, 3
+        t.trips(spark, sf), "dt", TRIP_FEATURES, "amount", TRIP_KEYS, {"maxDepth": [5, 8]}, 3
     ).trials
 
 
 def model_report(spark: SparkSession, sf: str) -> DataFrame:
-    model = models.fit_all(t.trips(spark, sf), "dt", TRIP_FEATURES, "l_quantity", maxDepth=3)
+    model = models.fit_all(t.trips(spark, sf), "dt", TRIP_FEATURES, "amount", maxDepth=3)
     return models.model_report(spark, "dt", model)
 
 
@@ -404,13 +402,13 @@ def segment_models(spark: SparkSession, sf: str) -> DataFrame:
     routed = checkpointed(models.score(tree, trips))
     classes = [r[0] for r in routed.select("prediction").distinct().collect()]  # at most six
     found = models.fit_per_segment(
-        routed, "prediction", sorted(classes), "linear", TRIP_FEATURES, "l_quantity", TRIP_KEYS,
+        routed, "prediction", sorted(classes), "linear", TRIP_FEATURES, "amount", TRIP_KEYS,
         grid={"regParam": [1000.0, 0.001]}, folds=2,
     )
     rows = []
     for k, search in found.items():
         scored = models.score(search.model, routed.where(F.col("prediction") == k).drop("prediction"))
-        for name, value in metrics.regression_metrics(scored, "l_quantity").first().asDict().items():
+        for name, value in metrics.regression_metrics(scored, "amount").first().asDict().items():
             rows.append((f"class-{int(k)}", name, value))
     return metrics.metrics_table(spark, rows)
 

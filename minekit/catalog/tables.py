@@ -74,7 +74,7 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as trips: quantity plays the minutes, price and rates are the features."""
+    """Order lines as trips: quantity plays the minutes; ``amount`` depends on three of the features."""
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
@@ -84,6 +84,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_tax",
         F.dayofweek("l_shipdate").alias("day_of_week"),
         duration_bin("l_quantity").alias("duration_bin"),
+        (F.col("l_quantity") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("amount"),
     )
 
 

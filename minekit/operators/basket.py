@@ -13,6 +13,7 @@ from minekit.operators.scale import in_parts
 
 BASKET_BLOCK = 2_000
 LIST_BLOCK = 10_000
+MAX_LOOKUP = 32  # baskets looked up instead of expanded; one bit of a bigint each
 
 
 def liked_items(
@@ -48,39 +49,75 @@ def user_baskets(liked: DataFrame, max_items: int = LIST_BLOCK) -> DataFrame:
 def pair_counts(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_BLOCK) -> DataFrame:
     """In how many baskets each unordered item pair occurs together, pairs seen >= ``min_pairs``.
 
+    Exact for every input; what keeps it affordable:
+
     * Items liked by fewer than ``min_pairs`` users cannot be part of a result pair and are
-      removed before the self-join (exact: n(a,b) <= min(freq a, freq b)).
-    * A basket above ``block`` items is cut into B hash blocks and joined as B(B+1)/2 block
-      pairs, so one huge basket becomes many bounded join keys instead of one task.
+      removed before the self-join (n(a,b) <= min(freq a, freq b)).
+    * With ``min_pairs`` = m a result pair occurs in at least one basket besides the m-1 largest.
+      Those baskets, where larger than ``block``, are looked up and not expanded: each item
+      carries one bit per such basket and a pair adds the baskets whose bit both items have.
+    * Any other basket above ``block`` items is cut into B hash blocks and joined as B(B+1)/2
+      block pairs, so a huge basket becomes many bounded join keys instead of one task.
     * Counts are combined map-side before the only pair-sized shuffle.
     """
     rows = liked.select("user", "item")
+    held = F.lit(0).cast("bigint")
     if min_pairs > 1:
-        frequent = item_frequency(rows).where(F.col("freq") >= min_pairs).select("item")
-        rows = rows.join(frequent, "item", "left_semi")
+        # at most MAX_LOOKUP rows, hence the broadcasts
+        giants = F.broadcast(_largest_baskets(rows, min(min_pairs - 1, MAX_LOOKUP), block))
+        items = (
+            rows.join(giants, "user", "left")
+            .groupBy("item")
+            .agg(F.count(F.lit(1)).alias("freq"), F.coalesce(F.sum("bit"), held).alias("held"))
+            .where(F.col("freq") >= min_pairs)
+            .select("item", "held")
+        )
+        rows = rows.join(giants, "user", "left_anti").join(items, "item")
+    else:
+        rows = rows.withColumn("held", held)
     blocks = in_parts(rows, "user", "item", block)
-    zero = F.lit(0).cast("bigint")
     low = blocks.select(
         "user",
         F.col("item").alias("x"),
+        F.col("held").alias("held_x"),
         F.col("part").alias("lo"),
         F.explode(F.sequence("part", F.col("parts") - 1)).alias("hi"),
     )
     high = blocks.select(
         "user",
         F.col("item").alias("y"),
-        F.explode(F.sequence(zero, F.col("part"))).alias("lo"),
+        F.col("held").alias("held_y"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("part"))).alias("lo"),
         F.col("part").alias("hi"),
     )
     met = low.join(high, ["user", "lo", "hi"]).where(
         (F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))
     )
-    counts = (
-        met.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
+    pair = [F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")]
+    seen = F.count(F.lit(1))
+    if min_pairs == 1:
+        return met.select(*pair).groupBy("item_a", "item_b").agg(seen.alias("n"))
+    both = F.bit_count(F.col("held_x").bitwiseAND(F.col("held_y"))).cast("bigint")
+    return (
+        met.select(*pair, both.alias("both"))
         .groupBy("item_a", "item_b")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((seen + F.max("both")).alias("n"))
+        .where(F.col("n") >= min_pairs)
+    )
+
+
+def _largest_baskets(rows: DataFrame, k: int, block: int) -> DataFrame:
+    """``(user, bit)``: the ``k`` largest baskets among those above ``block``, one bit each."""
+    largest = (
+        rows.groupBy("user")
+        .agg(F.count(F.lit(1)).alias("size"))
+        .where(F.col("size") > block)
+        .orderBy(F.desc("size"), "user")
+        .limit(k)
     )
-    return counts.where(F.col("n") >= min_pairs) if min_pairs > 1 else counts
+    return largest.agg(F.sort_array(F.collect_list("user")).alias("users")).select(
+        F.posexplode("users").alias("pos", "user")
+    ).select("user", F.expr("shiftleft(1L, pos)").alias("bit"))
 
 
 def by_count(pairs: DataFrame) -> DataFrame:
