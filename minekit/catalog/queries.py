@@ -50,9 +50,8 @@ def user_baskets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pairs_named(spark: SparkSession, sf: str) -> DataFrame:
-    return basket.with_titles(
-        basket.by_count(_pairs(spark, sf)), ["item_a", "item_b"], t.part_titles(spark, sf)
-    )
+    titles = t.part_titles(spark, sf)
+    return basket.by_count(basket.with_titles(_pairs(spark, sf), ["item_a", "item_b"], titles))
 
 
 def item_stripes(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +75,9 @@ def rule_lift(spark: SparkSession, sf: str) -> DataFrame:
 def rule_lift_named(spark: SparkSession, sf: str) -> DataFrame:
     rules = basket.rules_lift(_liked_parts(spark, sf))
     named = basket.with_titles(rules, ["item_a", "item_b"], t.part_titles(spark, sf))
-    return named.select("item_a", "title_a", "item_b", "title_b", "lift")
+    return named.select("item_a", "title_a", "item_b", "title_b", "lift").orderBy(
+        F.desc("lift"), "item_a", "item_b"
+    )
 
 
 # --- preparation ---------------------------------------------------------------------------

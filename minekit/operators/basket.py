@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minekit.operators.scale import in_parts
+from minekit.operators.scale import in_parts, large_groups
 
 BASKET_BLOCK = 2_000
 LIST_BLOCK = 10_000
@@ -56,15 +56,18 @@ def pair_counts(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_BLOCK)
     * With ``min_pairs`` = m a result pair occurs in at least one basket besides the m-1 largest.
       Those baskets, where larger than ``block``, are looked up and not expanded: each item
       carries one bit per such basket and a pair adds the baskets whose bit both items have.
-    * Any other basket above ``block`` items is cut into B hash blocks and joined as B(B+1)/2
-      block pairs, so a huge basket becomes many bounded join keys instead of one task.
-    * Counts are combined map-side before the only pair-sized shuffle.
+    * Any other basket above ``block`` items is cut into B hash blocks and joined cell by cell,
+      one cell per pair of blocks, so a huge basket becomes many bounded join keys instead of
+      one task.
+    * Both sides of the self-join are the same table, so they share one shuffle; counts are
+      combined map-side before the only pair-sized shuffle.
     """
     rows = liked.select("user", "item")
+    large = large_groups(rows, "user", block)
     held = F.lit(0).cast("bigint")
     if min_pairs > 1:
         # at most MAX_LOOKUP rows, hence the broadcasts
-        giants = F.broadcast(_largest_baskets(rows, min(min_pairs - 1, MAX_LOOKUP), block))
+        giants = F.broadcast(_largest_baskets(large, min(min_pairs - 1, MAX_LOOKUP)))
         items = (
             rows.join(giants, "user", "left")
             .groupBy("item")
@@ -75,29 +78,34 @@ def pair_counts(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_BLOCK)
         rows = rows.join(giants, "user", "left_anti").join(items, "item")
     else:
         rows = rows.withColumn("held", held)
-    blocks = in_parts(rows, "user", "item", block)
-    low = blocks.select(
-        "user",
-        F.col("item").alias("x"),
-        F.col("held").alias("held_x"),
-        F.col("part").alias("lo"),
-        F.explode(F.sequence("part", F.col("parts") - 1)).alias("hi"),
-    )
-    high = blocks.select(
-        "user",
-        F.col("item").alias("y"),
-        F.col("held").alias("held_y"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("part"))).alias("lo"),
-        F.col("part").alias("hi"),
+    every_block = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
+    cells = (
+        in_parts(rows, "user", "item", block, large)
+        .withColumn("other", F.explode(every_block))
+        .select(
+            "user",
+            "item",
+            "held",
+            "part",
+            F.least("part", "other").alias("lo"),
+            F.greatest("part", "other").alias("hi"),
+        )
     )
-    met = low.join(high, ["user", "lo", "hi"]).where(
-        (F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y"))
+    x, y = cells.alias("x"), cells.alias("y")
+    same_cell = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("user", "lo", "hi")]
+    # within a diagonal cell each pair once, in any other cell only pairs across the two blocks
+    once = F.when(F.col("x.lo") == F.col("x.hi"), F.col("x.item") < F.col("y.item")).otherwise(
+        F.col("x.part") < F.col("y.part")
     )
-    pair = [F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b")]
+    met = x.join(y, [*same_cell, once])
+    pair = [
+        F.least("x.item", "y.item").alias("item_a"),
+        F.greatest("x.item", "y.item").alias("item_b"),
+    ]
     seen = F.count(F.lit(1))
     if min_pairs == 1:
         return met.select(*pair).groupBy("item_a", "item_b").agg(seen.alias("n"))
-    both = F.bit_count(F.col("held_x").bitwiseAND(F.col("held_y"))).cast("bigint")
+    both = F.bit_count(F.col("x.held").bitwiseAND(F.col("y.held"))).cast("bigint")
     return (
         met.select(*pair, both.alias("both"))
         .groupBy("item_a", "item_b")
@@ -106,18 +114,14 @@ def pair_counts(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_BLOCK)
     )
 
 
-def _largest_baskets(rows: DataFrame, k: int, block: int) -> DataFrame:
-    """``(user, bit)``: the ``k`` largest baskets among those above ``block``, one bit each."""
-    largest = (
-        rows.groupBy("user")
-        .agg(F.count(F.lit(1)).alias("size"))
-        .where(F.col("size") > block)
-        .orderBy(F.desc("size"), "user")
-        .limit(k)
+def _largest_baskets(large: DataFrame, k: int) -> DataFrame:
+    """``(user, bit)``: the ``k`` largest of the large baskets, one bit each."""
+    top = large.orderBy(F.desc("size"), "user").limit(k)
+    return (
+        top.agg(F.sort_array(F.collect_list("user")).alias("users"))
+        .select(F.posexplode("users").alias("pos", "user"))
+        .select("user", F.expr("shiftleft(1L, pos)").alias("bit"))
     )
-    return largest.agg(F.sort_array(F.collect_list("user")).alias("users")).select(
-        F.posexplode("users").alias("pos", "user")
-    ).select("user", F.expr("shiftleft(1L, pos)").alias("bit"))
 
 
 def by_count(pairs: DataFrame) -> DataFrame:

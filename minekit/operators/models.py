@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from minekit.operators.metrics import accuracy, regression_metrics
 from minekit.operators.prep import fold_test, fold_train, with_fold
-from minekit.operators.scale import checkpoint_root
+from minekit.operators.scale import checkpoint_root, spread
 
 _KINDS = {
     "dt_class": DecisionTreeClassifier,
@@ -82,13 +82,13 @@ def search_settings(
 ) -> Search:
     """Every setting on every fold of ``data`` (which has a ``fold`` column), mean metric, refit.
 
-    The input is persisted once and each fold is a filter on it. Fits run concurrently so that
+    The input is persisted once, in enough partitions, and each fold is a filter on it. Fits run concurrently so that
     small stages of one fit do not leave the cluster idle. The earlier setting wins ties.
     """
     spark = data.sparkSession
     checkpoint_root(spark)
     larger_is_better = metric == "accuracy"
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread(data)
     try:
 
         @inheritable_thread_target(spark)

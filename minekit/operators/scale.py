@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,34 +38,60 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Add a unique id to rows without a key; the checkpoint keeps it fixed for good."""
+    return checkpointed(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def in_parts(df: DataFrame, key: str, value: str, max_rows: int) -> DataFrame:
+def large_groups(df: DataFrame, key: str, max_rows: int) -> DataFrame:
+    """``(key, size)`` of the groups above ``max_rows`` rows, pre-aggregated before the shuffle."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > max_rows)
+
+
+def in_parts(
+    df: DataFrame, key: str, value: str, max_rows: int, large: DataFrame | None = None
+) -> DataFrame:
     """Split groups of ``key`` larger than ``max_rows`` by a hash of ``value``.
 
     Adds ``parts`` (how many parts the row's group has, 1 for ordinary groups) and ``part``
-    (0..parts-1). Group sizes are pre-aggregated before they are shuffled and only the sizes of
-    the large groups are joined back, so the side AQE may broadcast is measured at run time;
-    when it is too large the sort-merge join splits a hot key of the left side.
+    (0..parts-1). Only the sizes of the large groups (``large_groups``, unless given) are joined
+    back, so the side AQE may broadcast is measured at run time; when it is too large the
+    sort-merge join splits a hot key of the left side.
     """
-    large = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > max_rows)
-        .select(key, F.ceil(F.col("_rows") / F.lit(max_rows)).cast("bigint").alias("_parts"))
-    )
+    if large is None:
+        large = large_groups(df, key, max_rows)
+    sizes = large.select(key, F.ceil(F.col("size") / F.lit(max_rows)).cast("bigint").alias("_parts"))
     part = F.pmod(F.xxhash64(F.col(value).cast("string")), F.col("_parts"))
     return (
-        df.join(large, key, "left")
+        df.join(sizes, key, "left")
         .withColumn("parts", F.coalesce("_parts", F.lit(1).cast("bigint")))
         .withColumn("part", F.when(F.col("_parts").isNull(), F.lit(0).cast("bigint")).otherwise(part))
         .drop("_parts")
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Persist a table that many passes will read, in enough partitions to occupy every core.
+
+    A table already split finely is only persisted; a small or badly split one is dealt out again,
+    so that iterative fits do not run in a single task.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    if kept.rdd.getNumPartitions() >= wanted:
+        return kept
+    dealt = kept.repartition(wanted).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt.count()
+    kept.unpersist()
+    return dealt
+
+
 def number_rows(df: DataFrame, order: list[Column | str], name: str = "idx") -> DataFrame:
     """Consecutive numbers 0, 1, 2, ... following ``order``, without a one-task sort.
 

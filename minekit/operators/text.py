@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minekit.functions import word_array
-from minekit.operators.scale import checkpointed, number_rows
+from minekit.operators.scale import number_rows, with_row_id
 
 
 def dedup_with_id(
@@ -31,7 +31,7 @@ def dedup_with_id(
     if key is not None:
         return kept.groupBy(F.col(text).alias("value")).agg(F.min(key).alias("id")).select("id", "value")
     unique = kept.select(F.col(text).alias("value")).distinct()
-    return checkpointed(unique.withColumn("id", F.monotonically_increasing_id())).select("id", "value")
+    return with_row_id(unique, "id").select("id", "value")
 
 
 def tokens(
@@ -118,8 +118,11 @@ def doc_term_vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
         )
     )
     schema = T.StructType([T.StructField("features", VectorUDT())])
+    # a fixed number of partitions: iterative fits on the vectors keep this parallelism
+    slices = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        counts.groupBy("id")
+        counts.repartition(slices, "id")
+        .groupBy("id")
         .agg(entries.alias("e"))
         .select("id", F.from_json(features, schema).alias("j"))
         .select("id", "j.features")

@@ -16,16 +16,22 @@ REPORT_ROWS = 1_000_000
 
 
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, header: bool = True
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType | str | None = None,
+    header: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with an explicit schema, or all strings. A schema shorter than the file reads its prefix.
 
-    Column names come from the schema, by position; fields that do not parse become NULL.
+    Column names come from the schema, by position; fields that do not parse become NULL. Free
+    text with line breaks needs ``multi_line``; such files are read whole, one task per file.
     """
     reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
+    reader = reader.option("escape", '"').option("multiLine", multi_line)
     if schema is None:
         return reader.csv(path)
-    return reader.option("enforceSchema", True).schema(schema).csv(path)
+    return reader.schema(schema).csv(path)
 
 
 def read_headerless(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -49,7 +55,7 @@ def write_csv(
         if df.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
             raise ValueError(f"single_file is for reports of at most {REPORT_ROWS} rows")
         df = df.repartition(1)
-    writer = df.write.option("header", header)
+    writer = df.write.option("header", header).option("escape", '"')
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)

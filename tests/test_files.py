@@ -44,3 +44,11 @@ def test_routing_reads_one_class(spark):
 
 def test_output_path():
     assert sources.output_path("/out/", "pairs-", "/data/in/ratings.csv") == "/out/pairs-ratings.csv"
+
+
+def test_awkward_text_survives(spark):
+    texts = ['say "hi", twice', "two\nlines", "back\\slash", 'ends with \\', '"quoted"', "comma,"]
+    path = scratch_path(spark, "awkward")
+    sources.write_csv(spark.createDataFrame([(t,) for t in texts], "t string"), path)
+    got = sources.read_csv(spark, path, "t string", multi_line=True).collect()
+    assert sorted(r.t for r in got) == sorted(texts)
