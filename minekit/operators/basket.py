@@ -6,7 +6,7 @@ Columns are ``user`` and ``item`` throughout; pairs are ``(item_a, item_b, n)``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from minekit.operators.scale import in_parts, large_groups
@@ -24,10 +24,12 @@ def liked_items(
     min_rating: float = 4.0,
 ) -> DataFrame:
     """Distinct ``(user, item)`` of ratings at or above ``min_rating``; unreadable rows drop out."""
+    # explicit null tests: the ones later joins imply are then already there, and every use of
+    # the result has the same plan and shares its shuffle
     return (
         ratings.where(F.col(rating).try_cast("double") >= F.lit(float(min_rating)))
         .select(F.col(user).alias("user"), F.col(item).alias("item"))
-        .na.drop()
+        .where(F.col("user").isNotNull() & F.col("item").isNotNull())
         .distinct()
     )
 
@@ -68,14 +70,15 @@ def pair_counts(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_BLOCK)
     if min_pairs > 1:
         # at most MAX_LOOKUP rows, hence the broadcasts
         giants = F.broadcast(_largest_baskets(large, min(min_pairs - 1, MAX_LOOKUP)))
+        # marked by a left join: an anti join would be pushed below `liked` and compute it twice
+        marked = rows.join(giants, "user", "left")
         items = (
-            rows.join(giants, "user", "left")
-            .groupBy("item")
+            marked.groupBy("item")
             .agg(F.count(F.lit(1)).alias("freq"), F.coalesce(F.sum("bit"), held).alias("held"))
             .where(F.col("freq") >= min_pairs)
             .select("item", "held")
         )
-        rows = rows.join(giants, "user", "left_anti").join(items, "item")
+        rows = marked.where(F.col("bit").isNull()).join(items, "item").select("user", "item", "held")
     else:
         rows = rows.withColumn("held", held)
     every_block = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
@@ -143,6 +146,13 @@ def item_stripes(pairs: DataFrame, max_entries: int = LIST_BLOCK) -> DataFrame:
     )
 
 
+def stripe_value(stripe: str | Column, item: Column | object, default: int = 0) -> Column:
+    """The count of ``item`` in a stripe, ``default`` if it is not there."""
+    stripe = F.col(stripe) if isinstance(stripe, str) else stripe
+    item = item if isinstance(item, Column) else F.lit(item)
+    return F.coalesce(F.try_element_at(stripe, item), F.lit(default))
+
+
 def with_titles(
     df: DataFrame,
     id_cols: list[str],

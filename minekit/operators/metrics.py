@@ -33,7 +33,8 @@ def map_score(scored: DataFrame, relevant: DataFrame, n: int = 15) -> DataFrame:
     have at least one relevant and one scored item; precision is divided by the size of the
     user's relevant set.
     """
-    labels = relevant.select("user", "item").distinct()
+    known = F.col("user").isNotNull() & F.col("item").isNotNull()
+    labels = relevant.where(known).select("user", "item").distinct()
     sizes = labels.groupBy("user").agg(F.count(F.lit(1)).alias("n_relevant"))
     ranked = topn_per_user(scored, n)
     by_rank = Window.partitionBy("user").orderBy("rank")

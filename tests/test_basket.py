@@ -50,6 +50,8 @@ def test_stripe_merge_keeps_keys_of_both_sides(spark):
     rows = [(1, 1), (1, 2), (2, 1), (2, 3), (3, 1), (3, 2)]
     stripes = basket.item_stripes(basket.pair_counts(liked(spark, rows)))
     assert {r.item_a: r.stripe for r in stripes.collect()} == {1: {2: 2, 3: 1}}
+    looked_up = stripes.select(basket.stripe_value("stripe", 2), basket.stripe_value("stripe", 9)).first()
+    assert tuple(looked_up) == (2, 0)
 
 
 def test_single_item_and_empty_baskets_have_no_pairs(spark):
@@ -146,3 +148,18 @@ def test_equal_titles_are_not_merged(spark):
     first = next(r for r in stripes if r.item_a == 1)
     assert first.title_a == "a"
     assert [(e.item, e.title, e.n) for e in first.stripe] == [(2, "same", 1), (3, "same", 1)]
+
+
+def test_one_user_with_a_third_of_all_rows(spark):
+    """Expanding that basket would make 200 million pairs; it is looked up instead."""
+    rnd = random.Random(8)
+    hot = 20_000
+    others = {(u, rnd.randrange(0, 2 * hot)) for u in range(1, 4001) for _ in range(10)}
+    rows = [(0, i) for i in range(hot)] + sorted(others)
+    got = as_dict(basket.pair_counts(liked(spark, rows), min_pairs=2))
+    baskets = defaultdict(list)
+    for u, i in sorted(others):
+        baskets[u].append(i)
+    n = Counter(p for items in baskets.values() for p in itertools.combinations(items, 2))
+    expected = {p: c + (p[1] < hot) for p, c in n.items() if c + (p[1] < hot) >= 2}
+    assert got == expected
