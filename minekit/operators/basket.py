@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minekit.operators.scale import in_parts, large_groups
+from minekit.operators.scale import in_parts, large_groups, list_parts
 
 BASKET_BLOCK = 2_000
 LIST_BLOCK = 10_000
@@ -41,10 +41,9 @@ def item_frequency(liked: DataFrame) -> DataFrame:
 
 def user_baskets(liked: DataFrame, max_items: int = LIST_BLOCK) -> DataFrame:
     """``(user, part, items)``: sorted item lists, long baskets spread over several parts."""
-    return (
-        in_parts(liked, "user", "item", max_items)
-        .groupBy("user", "part")
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
+    distinct = liked.select("user", "item").distinct()
+    return list_parts(distinct, "user", "item", max_items, F.col("item")).withColumnRenamed(
+        "entries", "items"
     )
 
 
@@ -138,12 +137,9 @@ def item_stripes(pairs: DataFrame, max_entries: int = LIST_BLOCK) -> DataFrame:
     Built from pair counts, so merging never depends on the partitioning. Items with more than
     ``max_entries`` partners get several parts.
     """
-    entries = F.array_sort(F.collect_list(F.struct("item_b", "n")))
-    return (
-        in_parts(pairs.select("item_a", "item_b", "n"), "item_a", "item_b", max_entries)
-        .groupBy("item_a", "part")
-        .agg(F.map_from_entries(entries).alias("stripe"))
-    )
+    counts = pairs.select("item_a", "item_b", "n")
+    lists = list_parts(counts, "item_a", "item_b", max_entries, F.struct("item_b", "n"))
+    return lists.select("item_a", "part", F.map_from_entries("entries").alias("stripe"))
 
 
 def stripe_value(stripe: str | Column, item: Column | object, default: int = 0) -> Column:
@@ -185,11 +181,7 @@ def stripes_named(pairs: DataFrame, titles: DataFrame, max_entries: int = LIST_B
     """
     named = with_titles(pairs.select("item_a", "item_b", "n"), ["item_b"], titles)
     entry = F.struct(F.col("item_b").alias("item"), F.col("title_b").alias("title"), "n")
-    stripes = (
-        in_parts(named, "item_a", "item_b", max_entries)
-        .groupBy("item_a", "part")
-        .agg(F.array_sort(F.collect_list(entry)).alias("stripe"))
-    )
+    stripes = list_parts(named, "item_a", "item_b", max_entries, entry).withColumnRenamed("entries", "stripe")
     return with_titles(stripes, ["item_a"], titles).select("item_a", "title_a", "part", "stripe")
 
 

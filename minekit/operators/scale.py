@@ -75,6 +75,20 @@ def in_parts(
     )
 
 
+def list_parts(df: DataFrame, key: str, value: str, max_rows: int, entry: Column) -> DataFrame:
+    """``(key, part, entries)``: the ``entry`` of each row as a sorted list per part of its group.
+
+    Rows are dealt by (key, part) explicitly. Left to itself the aggregate would reuse the
+    placement by ``key`` from ``in_parts`` and put all parts of a hot key into one task.
+    """
+    return (
+        in_parts(df, key, value, max_rows)
+        .repartition(key, "part")
+        .groupBy(key, "part")
+        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    )
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Persist a table that many passes will read, in enough partitions to occupy every core.
 

@@ -1,0 +1,63 @@
+"""Physical plans that must hold at scale."""
+
+import re
+
+import pytest
+
+from minekit.catalog import queries, tables
+from minekit.operators import basket, prep, ranking, text
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_a_hot_key_are_placed_separately(spark):
+    liked = spark.createDataFrame([(1, 2)], "user long, item long")
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(basket.user_baskets(liked)))
+    assert re.match(r"user#\d+L, part#\d+L, \d+$", shuffles[0])
+
+
+def test_huge_baskets_join_cell_by_cell(spark):
+    liked = spark.createDataFrame([(1, 2)], "user long, item long")
+    assert re.search(r"Exchange hashpartitioning\(user#\d+L, lo#\d+L, hi#\d+L", plan(basket.pair_counts(liked)))
+
+
+def test_ranking_limits_groups_before_the_shuffle(spark, sf_dir):
+    text_ = plan(ranking.topn_per_user(tables.scored_events(spark, sf_dir)))
+    assert re.search(r"WindowGroupLimit .*Final[\s\S]*Exchange hash[\s\S]*WindowGroupLimit .*Partial", text_)
+
+
+def test_scans_read_only_needed_columns_and_push_filters(spark, sf_dir):
+    liked = plan(basket.liked_items(tables.part_ratings(spark, sf_dir), min_rating=40.0))
+    assert "GreaterThanOrEqual(l_quantity,40.0)" in liked
+    assert "l_shipdate" not in liked and "o_totalprice" not in liked
+
+
+@pytest.mark.parametrize("name", ["rule_confidence", "rule_lift", "pair_counts"])
+def test_pair_queries_read_each_table_once(spark, sf_dir, name):
+    df = queries()[name](spark, sf_dir)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    for table in ("lineitem", "orders"):
+        assert len(re.findall(rf"FileScan parquet [^\n]*{table}\.parquet", final)) <= 1
+
+
+FITTED = ("dt_", "gbt", "rf_", "linreg", "cv_", "als", "lda", "model", "segment_models", "wide", "metrics")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in queries() if not n.startswith(FITTED)))
+def test_no_cartesian_products(spark, sf_dir, name):
+    found = plan(queries()[name](spark, sf_dir))
+    assert "CartesianProduct" not in found and "BroadcastNestedLoopJoin" not in found
+
+
+def test_text_work_stays_in_the_jvm(spark, sf_dir):
+    tok = text.tokens(text.dedup_with_id(tables.english(spark, sf_dir), "text", "lang", "en", "doc_id"))
+    found = plan(text.term_counts(tok))
+    assert "Python" not in found and "partial_count" in found
+
+
+def test_profiles_scan_once(spark, sf_dir):
+    found = plan(prep.null_profile(tables.gappy_events(spark, sf_dir), ["kind", "k", "amount"]))
+    assert found.count("FileScan") == 1
