@@ -146,6 +146,25 @@ def oracle_sql() -> dict[str, str]:
               GROUP BY 1, 2)
             WHERE n <> 1 AND n * 5 > n_a * 4""",
         ),
+        "rule_confidence_one_way": _q(
+            _LIKED_BRAND,
+            _FREQ,
+            _PAIRS,
+            select="""
+            SELECT item_a, item_b, p.n, f.n AS n_a, CAST(p.n AS DOUBLE) / f.n AS confidence
+            FROM pairs p JOIN freq f ON f.item = item_a WHERE p.n <> 1 AND p.n * 5 > f.n * 4""",
+        ),
+        "rule_lift_baskets": _q(
+            _LIKED_BRAND,
+            _FREQ,
+            _PAIRS,
+            select="""
+            SELECT item_a, item_b, p.n, a.n AS freq_a, b.n AS freq_b,
+                   CAST(p.n AS DOUBLE) * u.c / (CAST(a.n AS DOUBLE) * b.n) AS lift
+            FROM pairs p JOIN freq a ON item_a = a.item JOIN freq b ON item_b = b.item,
+                 (SELECT count(DISTINCT "user") AS c FROM liked) u
+            WHERE p.n >= 3 AND p.n * u.c * 100 > 102 * a.n * b.n""",
+        ),
         "rule_lift": _q(
             _LIKED,
             _FREQ,
@@ -327,6 +346,8 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT p_partkey AS "ParcelId", p AS "201610", p AS "201611", p AS "201612",
                    p AS "201710", p AS "201711", p AS "201712" FROM priced""",
+        "dense_keys": """
+            SELECT o_orderkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS customer FROM orders""",
         "dt_classify": f"""
             SELECT CAST({_BIN} AS BIGINT) AS duration_bin, CAST({_BIN} AS BIGINT) AS prediction,
                    count(*) AS n FROM lineitem GROUP BY 1, 2""",

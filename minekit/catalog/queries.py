@@ -68,6 +68,14 @@ def stripes_named(spark: SparkSession, sf: str) -> DataFrame:
     return stripes.select("item_a", "title_a", "part", F.array_join(cells, ",").alias("stripe"))
 
 
+def rule_confidence_one_way(spark: SparkSession, sf: str) -> DataFrame:
+    return basket.rules_confidence(_liked_brands(spark, sf), directed=False)
+
+
+def rule_lift_baskets(spark: SparkSession, sf: str) -> DataFrame:
+    return basket.rules_lift(_liked_brands(spark, sf), min_lift=1.02, min_pairs=3, denominator="baskets")
+
+
 def rule_lift(spark: SparkSession, sf: str) -> DataFrame:
     return basket.rules_lift(_liked_parts(spark, sf), min_pairs=2)
 
@@ -248,7 +256,7 @@ def _topic_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, D
     docs = _texts(spark, sf)
     tok = text.tokens(docs)
     vocab = checkpointed(text.vocabulary(tok))
-    vectors = checkpointed(text.doc_term_vectors(text.doc_term_counts(tok, vocab), vocab))
+    vectors = checkpointed(text.doc_term_vectors(text.doc_term_counts(tok, vocab), vocab), every_core=True)
     return docs, vocab, vectors
 
 
@@ -423,6 +431,21 @@ def als_recommend(spark: SparkSession, sf: str) -> DataFrame:
     return recommend.recommend(model, t.part_titles(spark, sf))
 
 
+def als_recommend_user(spark: SparkSession, sf: str) -> DataFrame:
+    """The single-customer report: only customer 0 is scored."""
+    ratings = checkpointed(t.mean_ratings(spark, sf))
+    model = recommend.als_fit(ratings, max_iter=8)
+    asked = ratings.where(F.col("user") == 0).select("user").distinct()
+    return recommend.recommend(model, t.part_titles(spark, sf), asked)
+
+
+def dense_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with the customer id replaced by a dense number."""
+    orders = t.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    indexed, _ = recommend.index_keys(orders, "o_custkey")
+    return indexed.select("o_orderkey", F.col("o_custkey").cast("bigint").alias("customer"))
+
+
 def als_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out RMSE, MSE and MAP of the factor model."""
     ratings = checkpointed(t.mean_ratings(spark, sf))
@@ -444,7 +467,9 @@ def queries() -> dict[str, Query]:
         "stripes_named": stripes_named,
         "item_frequency": lambda s, d: basket.item_frequency(_liked_parts(s, d)),
         "rule_confidence": lambda s, d: basket.rules_confidence(_liked_brands(s, d)),
+        "rule_confidence_one_way": rule_confidence_one_way,
         "rule_lift": rule_lift,
+        "rule_lift_baskets": rule_lift_baskets,
         "rule_lift_named": rule_lift_named,
         "value_frequency": value_frequency,
         "column_modes": column_modes,
@@ -488,6 +513,8 @@ def queries() -> dict[str, Query]:
         "model_report": model_report,
         "segment_models": segment_models,
         "als_recommend": als_recommend,
+        "als_recommend_user": als_recommend_user,
+        "dense_keys": dense_keys,
         "als_search": als_search,
         "als_metrics": als_metrics,
         "lda_topics": lda_topics,

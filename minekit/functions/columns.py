@@ -24,7 +24,8 @@ def hash32(*cols: str | Column, seed: str = "") -> Column:
     parts = [_col(c).cast("string") for c in cols]
     if seed:
         parts.append(F.lit(seed))
-    text = parts[0] if len(parts) == 1 else F.concat_ws("|", *parts)
+    # a missing key still gets a value, so that no row falls out of a split
+    text = F.coalesce(parts[0], F.lit("")) if len(parts) == 1 else F.concat_ws("|", *parts)
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from minekit.functions import number_from_text
 from minekit.operators.scale import in_parts, large_groups, list_parts
 
 BASKET_BLOCK = 2_000
@@ -24,10 +26,12 @@ def liked_items(
     min_rating: float = 4.0,
 ) -> DataFrame:
     """Distinct ``(user, item)`` of ratings at or above ``min_rating``; unreadable rows drop out."""
+    is_text = isinstance(ratings.schema[rating].dataType, T.StringType)
+    value = number_from_text(rating) if is_text else F.col(rating)
     # explicit null tests: the ones later joins imply are then already there, and every use of
     # the result has the same plan and shares its shuffle
     return (
-        ratings.where(F.col(rating).try_cast("double") >= F.lit(float(min_rating)))
+        ratings.where(value >= F.lit(float(min_rating)))
         .select(F.col(user).alias("user"), F.col(item).alias("item"))
         .where(F.col("user").isNotNull() & F.col("item").isNotNull())
         .distinct()

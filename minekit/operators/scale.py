@@ -32,10 +32,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
+def checkpointed(df: DataFrame, every_core: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from the written copy.
+
+    ``every_core`` is for inputs of iterative fits: a copy in fewer partitions than there are
+    cores, hence a small one, is dealt out over all of them.
+    """
     checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    written = df.checkpoint()
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if every_core and written.rdd.getNumPartitions() < wanted:
+        return written.repartition(wanted).checkpoint()
+    return written
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -114,14 +122,12 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str = "idx") ->
     partition sizes and the positions come from one and the same placement even if executors
     are lost in between. ``order`` must be total for reproducible numbers.
     """
-    spark = df.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = checkpointed(
-        df.repartitionByRange(slices, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id())
     ).withColumn("_slice", F.shiftright("_at", _ROW_BITS))
-    # one row per partition: the window and the broadcast are bounded by `slices`
+    # one row per partition bounds the window and the broadcast
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("_slice")

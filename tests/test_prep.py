@@ -96,6 +96,14 @@ def test_split_is_a_partition_and_stable(spark):
     assert {r.id for r in other.collect()} != {r.id for r in train.collect()}
 
 
+def test_rows_without_a_key_stay(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, v int")
+    for keys in (["k"], ["k", "v"]):
+        train, test = prep.hash_split(df, keys, 0.5)
+        assert train.count() + test.count() == 3
+        assert prep.with_fold(df, keys, 3).where("fold is null").count() == 0
+
+
 def test_folds_cover_everything_once(spark):
     df = prep.with_fold(spark.range(1000), ["id"], 5)
     assert sum(prep.fold_test(df, i).count() for i in range(5)) == 1000
