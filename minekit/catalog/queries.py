@@ -422,21 +422,26 @@ def segment_models(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.metrics_table(spark, rows)
 
 
+def _ratings(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    return recommend.int_ids(checkpointed(t.mean_ratings(spark, sf)))
+
+
 def als_search(spark: SparkSession, sf: str) -> DataFrame:
-    return recommend.als_search(checkpointed(t.mean_ratings(spark, sf))).trials
+    return recommend.als_search(_ratings(spark, sf)[0]).trials
 
 
 def als_recommend(spark: SparkSession, sf: str) -> DataFrame:
-    model = recommend.als_fit(checkpointed(t.mean_ratings(spark, sf)), max_iter=8)
-    return recommend.recommend(model, t.part_titles(spark, sf))
+    ratings, keys = _ratings(spark, sf)
+    model = recommend.als_fit(ratings, max_iter=8)
+    return recommend.recommend(model, t.part_titles(spark, sf), keys=keys)
 
 
 def als_recommend_user(spark: SparkSession, sf: str) -> DataFrame:
     """The single-customer report: only customer 0 is scored."""
-    ratings = checkpointed(t.mean_ratings(spark, sf))
+    ratings, keys = _ratings(spark, sf)
     model = recommend.als_fit(ratings, max_iter=8)
-    asked = ratings.where(F.col("user") == 0).select("user").distinct()
-    return recommend.recommend(model, t.part_titles(spark, sf), asked)
+    asked = t.table(spark, sf, "customer").where("c_custkey = 0").select(F.col("c_custkey").alias("user"))
+    return recommend.recommend(model, t.part_titles(spark, sf), asked, keys=keys)
 
 
 def dense_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -448,7 +453,7 @@ def dense_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 def als_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out RMSE, MSE and MAP of the factor model."""
-    ratings = checkpointed(t.mean_ratings(spark, sf))
+    ratings, _ = _ratings(spark, sf)
     train, test = prep.hash_split(ratings, ["user", "item"], 0.8)
     scored = checkpointed(recommend.als_fit(train, max_iter=8).transform(test))
     ranked = scored.withColumnRenamed("prediction", "score")

@@ -37,10 +37,10 @@ def brand_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mean_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One rating of 0.1..5.0 per customer and part, ids as int."""
+    """One rating of 0.1..5.0 per customer and part."""
     return (
         part_ratings(spark, sf_dir)
-        .groupBy(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"))
+        .groupBy("user", "item")
         .agg((F.avg("rating") / 10).cast("float").alias("rating"))
     )
 

@@ -25,7 +25,7 @@ def recommend(
     folds: int = 5,
 ) -> str:
     """80/20 split, search on the 80 %, errors and MAP on the 20 %, five titles for ``user``."""
-    ratings = checkpointed(
+    rated = checkpointed(
         read_csv(spark, ratings_path, RATINGS)
         .select(F.col("userId").alias("user"), F.col("movieId").alias("item"), "rating")
         .na.drop()
@@ -34,6 +34,7 @@ def recommend(
         read_csv(spark, items_path).select(F.col("movieId").alias("item"), "title"),
         {"item": "bigint", "title": "string"},
     )
+    ratings, keys = als.int_ids(rated)
     train, test = hash_split(ratings, ["user", "item"], 0.8, seed="12345")
     found = als.als_search(train, trials, folds)
     scored = checkpointed(found.model.transform(test))
@@ -41,8 +42,8 @@ def recommend(
     ranked = scored.withColumnRenamed("prediction", "score")
     precision = metrics.map_score(ranked, ranking.relevant_items(scored))
     report = errors.unionByName(metrics.metrics_long(precision, "final"))
-    asked = ratings.where(F.col("user") == user).select("user").distinct()
-    picks = als.recommend(found.model, titles, asked).orderBy("rank").select("title")
+    asked = rated.where(F.col("user") == user).select("user").distinct()
+    picks = als.recommend(found.model, titles, asked, keys=keys).orderBy("rank").select("title")
     write_csv(picks, f"{out_dir}/recommendations", single_file=True)
     write_csv(found.trials, f"{out_dir}/foldPerformance", single_file=True)
     write_csv(report, f"{out_dir}/finalPerformance", single_file=True)
