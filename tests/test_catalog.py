@@ -31,6 +31,17 @@ def test_query_equals_sql(spark, sf_dir, con, name):
     assert mismatch(QUERIES[name](spark, sf_dir), con, SQL[name]) is None
 
 
+@pytest.mark.parametrize("partitions", ["1", "3"])
+@pytest.mark.parametrize("name", ["rule_lift", "item_stripes", "vocabulary", "map_score", "dense_keys"])
+def test_results_do_not_depend_on_partitions(spark, sf_dir, con, name, partitions):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert mismatch(QUERIES[name](spark, sf_dir), con, SQL[name]) is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def rows(spark, sf_dir, name):
     return QUERIES[name](spark, sf_dir).collect()
 
