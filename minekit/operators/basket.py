@@ -97,6 +97,10 @@ def pair_counts(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_BLOCK)
             F.greatest("part", "other").alias("hi"),
         )
     )
+    # An explicit number of partitions: adaptive coalescing judges by input bytes, and would pack
+    # cells together whose few rows make many pairs.
+    slices = int(liked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(slices, "user", "lo", "hi")
     x, y = cells.alias("x"), cells.alias("y")
     same_cell = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("user", "lo", "hi")]
     # within a diagonal cell each pair once, in any other cell only pairs across the two blocks
