@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from minekit.llm import licenses, line_rules, secret_scan, token_counts, winnow
+from minekit.llm import licenses, line_rules, packing, secret_scan, simhash, token_counts, winnow
 from minekit.llm.common import documents
 from minekit.operators.scale import scratch_path
 
@@ -20,6 +20,14 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest_columns(secret_scan.find_secrets(documents(spark, sf_dir)))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), with_ids=False)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest_columns(simhash.near_duplicates(documents(spark, sf_dir)))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digest_columns(winnow.edited_pairs(documents(spark, sf_dir)))
 
@@ -33,7 +41,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_token_counts, op3_secrets, op8_winnowing, op9_licenses, op10_line_rules)
+    every = (op1_token_counts, op3_secrets, op6_packing, op7_simhash, op8_winnowing, op9_licenses, op10_line_rules)
     return {f.__name__: f for f in every}
 
 

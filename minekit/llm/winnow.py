@@ -62,8 +62,8 @@ def chosen(text: Column) -> Column:
 
 
 def hashes_of(packed: Column) -> Column:
-    """The distinct hashes of ``chosen``."""
-    return F.array_distinct(F.transform(packed, lambda v: F.shiftright(v, 32)))
+    """The distinct hashes of ``chosen``, which fit into ints."""
+    return F.array_distinct(F.transform(packed, lambda v: F.shiftright(v, 32).cast("int")))
 
 
 def places_of(packed: Column) -> Column:
@@ -124,11 +124,14 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("key").alias("asker"),
         F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"),
         ((F.col("idx") + 1) % F.lit(max(total, 1))).alias("idx"),
-    ).join(numbered.select("idx", "key"), "idx")
+    ).join(numbered.select("idx", "key", F.col("doc_id").alias("asked")), "idx")
     texts = keyed.groupBy("key").agg(
         F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")
     )
-    beginnings = texts.join(asks, "key").select(
+    # the check of id and copies always holds; it asks for the same columns as the second use of
+    # the texts, so that one shuffle of them serves both
+    same = (F.col("copies") > 0) & F.col("doc_id").eqNullSafe(F.col("asked"))
+    beginnings = texts.join(asks, "key").where(same).select(
         F.col("asker").alias("key"),
         F.substring(F.col("text"), F.lit(1), F.col("wanted")).alias("beginning"),
         hashes_of(chosen(F.col("text"))).alias("next_hashes"),
