@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from minekit.llm import licenses, line_rules, packing, secret_scan, simhash, token_counts, winnow
+from minekit.llm import (
+    language,
+    licenses,
+    line_rules,
+    packing,
+    quality,
+    secret_scan,
+    segmentation,
+    simhash,
+    token_counts,
+    winnow,
+)
 from minekit.llm.common import documents
 from minekit.operators.scale import scratch_path
 
@@ -16,10 +27,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digest_columns(token_counts.count_tokens(documents(spark, sf_dir), cache))
 
 
+def op2_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.n_best(documents(spark, sf_dir), with_ids=False)
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest_columns(secret_scan.find_secrets(documents(spark, sf_dir)))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.classify(docs, model)
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.train(docs))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), with_ids=False)
 
@@ -41,7 +67,18 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_token_counts, op3_secrets, op6_packing, op7_simhash, op8_winnowing, op9_licenses, op10_line_rules)
+    every = (
+        op1_token_counts,
+        op2_n_best,
+        op3_secrets,
+        op4_quality,
+        op5_language,
+        op6_packing,
+        op7_simhash,
+        op8_winnowing,
+        op9_licenses,
+        op10_line_rules,
+    )
     return {f.__name__: f for f in every}
 
 
