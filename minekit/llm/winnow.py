@@ -124,15 +124,15 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("key").alias("asker"),
         F.floor(F.col("n_chars") / 3).cast("int").alias("wanted"),
         ((F.col("idx") + 1) % F.lit(max(total, 1))).alias("idx"),
-    ).join(numbered.select("idx", "key", F.col("doc_id").alias("asked")), "idx")
+    ).join(numbered.select("idx", "key"), "idx")
     texts = keyed.groupBy("key").agg(
         F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")
     )
-    # the check of id and copies always holds; it asks for the same columns as the second use of
-    # the texts, so that one shuffle of them serves both
-    same = (F.col("copies") > 0) & F.col("doc_id").eqNullSafe(F.col("asked"))
-    beginnings = texts.join(asks, "key").where(same).select(
+    # with the id and the number of copies both uses of the texts ask for the same columns, so that
+    # one shuffle serves them
+    beginnings = texts.where("copies > 0").join(asks, "key").select(
         F.col("asker").alias("key"),
+        F.col("doc_id").alias("next_id"),
         F.substring(F.col("text"), F.lit(1), F.col("wanted")).alias("beginning"),
         hashes_of(chosen(F.col("text"))).alias("next_hashes"),
     )
@@ -143,6 +143,7 @@ def edited_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "text",
         "copies",
         F.concat(F.substring(F.col("text"), F.lit(1), stay), F.col("beginning")).alias("edited"),
+        "next_id",
         "next_hashes",
     )
     return (
@@ -164,6 +165,7 @@ def digest_columns(pairs: DataFrame) -> DataFrame:
     )
     return pairs.select(
         "doc_id",
+        "next_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         digest(F.col("packed")).alias("fingerprint"),
