@@ -7,6 +7,7 @@ about them. Texts for which a cut between words would not be exact go to the lib
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 
@@ -29,6 +30,8 @@ _WHOLE_WORDS = re.compile("[\x1c-\x1f\x85]|<\\|")
 
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
+    # a task has one core; threads of the library would only wait for each other
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
