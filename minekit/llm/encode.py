@@ -55,7 +55,7 @@ class _Memo:
         new = list({p for pieces in cut for p in pieces if p not in self.pieces})
         fresh = {}
         if new:
-            got = _tokenizer(self.path).encode_batch(new, add_special_tokens=False)
+            got = _tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False)
             fresh = {p: self.of(e.ids) for p, e in zip(new, got)}
             if len(self.pieces) + len(fresh) <= MEMO_WORDS:
                 self.pieces.update(fresh)
