@@ -35,14 +35,17 @@ def bucket_of(*cols: str | Column, buckets: int | Column, seed: str = "") -> Col
 
 
 def whole_number(c: str | Column, to: str = "bigint") -> Column:
-    """Text to integer: ``'06037'`` -> 6037, ``'2.0'`` -> 2, ``'2.9'`` -> 2, junk -> NULL.
+    """Text to integer: ``'06037'`` -> 6037, ``'2.9'`` -> 2, ``'1.2E7'`` -> 12000000, junk -> NULL.
 
     The digits are picked by a pattern before the cast: a failing cast raises and catches an
     exception per row, which dominates a scan of dirty text. Going through text, not double,
-    keeps identifiers above 2**53 exact.
+    keeps plain identifiers above 2**53 exact. Text with an exponent, as doubles of 10**7 and more
+    are printed, or with a leading point is read as a double and truncated; out of range -> NULL.
     """
-    digits = F.regexp_extract(F.trim(_col(c).cast("string")), r"^([+-]?\d+)(?:\.\d*)?\z", 1)
-    return F.when(digits != "", digits).try_cast(to)
+    text = F.trim(_col(c).cast("string"))
+    digits = F.regexp_extract(text, r"^([+-]?\d+)(?:\.\d*)?\z", 1)
+    other = F.when(text.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"), text)
+    return F.when(digits != "", digits.try_cast(to)).otherwise(other.try_cast("double").try_cast(to))
 
 
 def number_from_text(c: str | Column, to: str = "double") -> Column:

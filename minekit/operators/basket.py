@@ -39,8 +39,9 @@ def liked_items(
 
 
 def item_frequency(liked: DataFrame) -> DataFrame:
-    """How many users like each item."""
-    return liked.groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
+    """How many users like each item; repeated rows count once."""
+    distinct = liked.select("user", "item").distinct()
+    return distinct.groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def user_baskets(liked: DataFrame, max_items: int = LIST_BLOCK) -> DataFrame:
@@ -67,7 +68,8 @@ def pair_counts(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_BLOCK)
     * Both sides of the self-join are the same table, so they share one shuffle; counts are
       combined map-side before the only pair-sized shuffle.
     """
-    rows = liked.select("user", "item")
+    # no cost for `liked_items`, whose rows are distinct: the optimiser drops the second aggregate
+    rows = liked.select("user", "item").distinct()
     large = large_groups(rows, "user", block)
     held = F.lit(0).cast("bigint")
     if min_pairs > 1:
@@ -77,7 +79,7 @@ def pair_counts(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_BLOCK)
         marked = rows.join(giants, "user", "left")
         items = (
             marked.groupBy("item")
-            .agg(F.count(F.lit(1)).alias("freq"), F.coalesce(F.sum("bit"), held).alias("held"))
+            .agg(F.count(F.lit(1)).alias("freq"), F.coalesce(F.bit_or("bit"), held).alias("held"))
             .where(F.col("freq") >= min_pairs)
             .select("item", "held")
         )
@@ -151,12 +153,19 @@ def item_stripes(pairs: DataFrame, max_entries: int = LIST_BLOCK) -> DataFrame:
 
 
 def stripe_value(stripe: str | Column, item: Column | object, default: int = 0) -> Column:
-    """The count of ``item`` in a stripe, ``default`` if it is not there."""
+    """The count of ``item`` in one part of a stripe, ``default`` if it is not there."""
     stripe = F.col(stripe) if isinstance(stripe, str) else stripe
     item = item if isinstance(item, Column) else F.lit(item)
     return F.coalesce(F.try_element_at(stripe, item), F.lit(default))
 
 
+def stripe_lookup(stripes: DataFrame, item: Column | object, default: int = 0) -> DataFrame:
+    """``(item_a, n)``: the count of ``item`` in each stripe, over all of its parts."""
+    item = item if isinstance(item, Column) else F.lit(item)
+    found = F.max(F.try_element_at(F.col("stripe"), item))
+    return stripes.groupBy("item_a").agg(F.coalesce(found, F.lit(default)).alias("n"))
+
+
 def with_titles(
     df: DataFrame,
     id_cols: list[str],
@@ -235,7 +244,7 @@ def rules_lift(
     """
     if denominator not in ("rows", "baskets"):
         raise ValueError("denominator is 'rows' or 'baskets'")
-    counted = liked if denominator == "rows" else liked.select("user").distinct()
+    counted = liked.select("user", *["item"] * (denominator == "rows")).distinct()
     total = counted.agg(F.count(F.lit(1)).cast("double")).scalar()
     freq = item_frequency(liked)
     freq_a = freq.select(F.col("item").alias("item_a"), F.col("freq").alias("freq_a"))

@@ -35,8 +35,15 @@ def value_frequency(df: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame
 
 
 def column_modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Most frequent non-null value per column, ties to the smallest: ``(column, value, n)``."""
-    best = F.min(F.struct((-F.col("n")).alias("neg"), "value"))
+    """Most frequent non-null value per column, ties to the smallest: ``(column, value, n)``.
+
+    Of numbers the smallest is meant as a number, so 9 comes before 10.
+    """
+    numeric = [c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)]
+    # decimal, not double: longs that a double cannot tell apart stay apart
+    kind = "double" if any(isinstance(df.schema[c].dataType, T.FractionalType) for c in numeric) else "decimal(38,0)"
+    number = F.when(F.col("column").isin(numeric), F.col("value")).try_cast(kind)
+    best = F.min(F.struct((-F.col("n")).alias("neg"), number.alias("number"), "value"))
     return (
         _long_counts(df, cols)
         .where(F.col("value").isNotNull())

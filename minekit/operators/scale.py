@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark import StorageLevel
@@ -15,20 +14,15 @@ _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row numbe
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``. A local session without the setting gets
-    a fresh temporary folder; a cluster session without it is an error, since a machine-local
-    folder would be lost with its executor.
+    A session names it in ``spark.checkpoint.dir``; without the setting a folder in the warehouse
+    serves, which all executors reach as well. Which of them does not depend on the master.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        configured = tempfile.mkdtemp(prefix="minekit-")
-    sc.setCheckpointDir(configured)
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
     return sc.getCheckpointDir()
 
 

@@ -163,3 +163,30 @@ def test_one_user_with_a_third_of_all_rows(spark):
     n = Counter(p for items in baskets.values() for p in itertools.combinations(items, 2))
     expected = {p: c + (p[1] < hot) for p, c in n.items() if c + (p[1] < hot) >= 2}
     assert got == expected
+
+
+@pytest.mark.parametrize("min_pairs", [1, 2, 3])
+def test_repeated_rows_count_once(spark, min_pairs):
+    rows = [(u, i) for u in range(6) for i in range(12) if (u * i + u) % 3] + [(1, 1), (1, 2), (1, 1), (2, 1), (2, 2)]
+    liked = spark.createDataFrame(rows * 2, "user int, item int")
+    baskets = {}
+    for u, i in rows:
+        baskets.setdefault(u, set()).add(i)
+    want = {}
+    for items in baskets.values():
+        for a in items:
+            for b in items:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    got = {(r.item_a, r.item_b): r.n for r in basket.pair_counts(liked, min_pairs, block=4).collect()}
+    assert got == {p: n for p, n in want.items() if n >= min_pairs}
+    freq = {r["item"]: r.freq for r in basket.item_frequency(liked).collect()}
+    assert freq == {i: sum(i in items for items in baskets.values()) for i in set().union(*baskets.values())}
+
+
+def test_lookup_over_the_parts_of_a_stripe(spark):
+    pairs = spark.createDataFrame([(0, i, i * 10) for i in range(1, 13)] + [(5, 7, 1)], "item_a int, item_b int, n long")
+    stripes = basket.item_stripes(pairs, max_entries=4)
+    assert stripes.where("item_a = 0").count() > 1
+    assert {r.item_a: r.n for r in basket.stripe_lookup(stripes, 7).collect()} == {0: 70, 5: 1}
+    assert {r.item_a: r.n for r in basket.stripe_lookup(stripes, 99).collect()} == {0: 0, 5: 0}

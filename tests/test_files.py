@@ -13,10 +13,17 @@ def test_single_file_report_and_prefix_schema(spark):
     assert sorted(map(tuple, back.collect())) == [(1, "a,b"), (2, None)]
 
 
-def test_single_file_refuses_large_tables(spark, monkeypatch):
-    monkeypatch.setattr("minekit.sources.files.REPORT_ROWS", 3)
-    with pytest.raises(ValueError):
-        sources.write_csv(spark.range(4), scratch_path(spark, "large"), single_file=True)
+def test_single_file_runs_its_input_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(len(batch))
+            yield batch
+
+    df = spark.range(40).mapInPandas(counted, "id long")
+    sources.write_csv(df, scratch_path(spark, "once"), single_file=True)
+    assert rows.value == 40
 
 
 def test_existing_output_is_an_error(spark):

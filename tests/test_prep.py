@@ -10,7 +10,8 @@ from minekit.operators.scale import in_parts, number_rows
     "text, expected",
     [
         ("2.0", 2), ("06037", 6037), ("2.9", 2), ("-3", -3), ("+4", 4), (" 5 ", 5), ("6.", 6),
-        ("9007199254740993", 9007199254740993), ("1e3", None), ("", None), ("abc", None),
+        ("9007199254740993", 9007199254740993), ("1e3", 1000), ("1.2E7", 12000000), (".5", 0), ("-1.5e1", -15),
+        ("6.0379203391054E13", 60379203391054), ("1e30", None), ("", None), ("abc", None),
         ("1.2.3", None), ("7\n8", None), ("99999999999999999999", None), (None, None),
     ],
 )
@@ -131,3 +132,10 @@ def test_in_parts_splits_only_large_groups(spark):
     assert {r.parts for r in got if r.g == 0} == {5}
     assert len({r.part for r in got if r.g == 0}) > 1
     assert {(r.parts, r.part) for r in got if r.g != 0} == {(1, 0)}
+
+
+def test_mode_ties_go_to_the_smallest_number(spark):
+    rows = [(9, "9"), (10, "10"), (9, "9"), (10, "10"), (None, None)]
+    df = spark.createDataFrame(rows, "k long, c string")
+    got = {r.column: r.value for r in prep.column_modes(df, ["k", "c"]).collect()}
+    assert got == {"k": "9", "c": "10"}
