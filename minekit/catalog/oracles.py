@@ -337,15 +337,13 @@ def oracle_sql() -> dict[str, str]:
                    round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
                    round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept
             FROM lineitem GROUP BY 1""",
-        "wide_prediction": """
-            WITH line AS (
-              SELECT regr_slope(l_extendedprice, l_quantity) AS slope,
-                     regr_intercept(l_extendedprice, l_quantity) AS intercept FROM lineitem
-            ), priced AS (
-              SELECT p_partkey, round(intercept + slope * p_size, 2) AS p FROM part, line
+        "wide_prediction": f"""
+            WITH scored AS (
+              SELECT p_partkey, CAST({_BIN} AS DOUBLE) * 100 AS p
+              FROM (SELECT p_partkey, p_size AS l_quantity FROM part)
             )
             SELECT p_partkey AS "ParcelId", p AS "201610", p AS "201611", p AS "201612",
-                   p AS "201710", p AS "201711", p AS "201712" FROM priced""",
+                   p AS "201710", p AS "201711", p AS "201712" FROM scored""",
         "dense_keys": """
             SELECT o_orderkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS customer FROM orders""",
         "dt_classify": f"""
@@ -357,4 +355,68 @@ def oracle_sql() -> dict[str, str]:
         "gbt_regress": f"""
             SELECT CAST({_BIN} AS DOUBLE) * 100 AS level, CAST({_BIN} AS DOUBLE) * 100 AS prediction,
                    count(*) AS n FROM lineitem GROUP BY 1, 2""",
+        "rf_regress": f"""
+            SELECT CAST({_BIN} AS DOUBLE) * 100 AS level, CAST({_BIN} AS DOUBLE) * 100 AS prediction,
+                   count(*) AS n FROM lineitem GROUP BY 1, 2""",
+        "linreg_cv_check": """
+            SELECT * FROM (VALUES ('l_quantity', CAST(3 AS DOUBLE)), ('l_discount', CAST(-250 AS DOUBLE)),
+                                  ('l_tax', CAST(100 AS DOUBLE)), ('intercept', CAST(7 AS DOUBLE)))
+            AS plane(term, coefficient)""",
+        "cv_select": """
+            SELECT trial, setting, CAST(fold AS INTEGER) AS fold, CAST(0 AS DOUBLE) AS rmse,
+                   CAST(0 AS DOUBLE) AS mean_rmse, trial = 0 AS best
+            FROM (VALUES (0, 'maxDepth=5'), (1, 'maxDepth=8'), (2, 'maxDepth=10')) AS settings(trial, setting),
+                 range(5) AS folds(fold)""",
+        "model_report_check": f"SELECT DISTINCT CAST({_BIN} AS DOUBLE) * 100 AS level FROM lineitem",
+        "als_search_check": """
+            SELECT trial, setting, CAST(5 AS BIGINT) AS n_folds, true AS in_range, true AS consistent
+            FROM (VALUES (0, 'maxIter=5, regParam=0.01'), (1, 'maxIter=8, regParam=0.1'),
+                         (2, 'maxIter=10, regParam=0.01'), (3, 'maxIter=12, regParam=0.1'),
+                         (4, 'maxIter=15, regParam=0.01')) AS settings(trial, setting)""",
+        "als_recommend_check": """
+            SELECT DISTINCT o_custkey AS "user", CAST(5 AS BIGINT) AS n_items, '1,2,3,4,5' AS ranks, true AS ordered
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+        "doc_vectors": _q(
+            _DOCS,
+            _WORDS,
+            _TERMS,
+            _VOCAB,
+            select="""
+            SELECT id, idx, CAST(count(*) AS DOUBLE) AS value FROM words JOIN vocab USING (term) GROUP BY 1, 2""",
+        ),
+        "lda_topics_check": _q(
+            _DOCS,
+            _WORDS,
+            _TERMS,
+            _VOCAB,
+            select="""
+            SELECT topic, least(30, n) AS n, least(30, n) AS n_distinct, true AS ordered
+            FROM range(5) AS topics(topic), (SELECT count(*) AS n FROM vocab)""",
+        ),
+        "lda_top_documents_check": _q(
+            _DOCS,
+            _WORDS,
+            _TERMS,
+            _VOCAB,
+            select="""
+            SELECT topic, least(20, n) AS n, least(20, n) AS n_distinct, true AS ordered
+            FROM range(5) AS topics(topic),
+                 (SELECT count(DISTINCT id) AS n FROM words JOIN vocab USING (term))""",
+        ),
+        "dedup_generated_ids": _q(
+            _DOCS, select="SELECT count(*) AS n, count(*) AS n_ids, count(*) AS n_values FROM docs"
+        ),
+        "titles_or_null": _q(
+            _LIKED,
+            _FREQ,
+            select="""
+            SELECT item AS item_a, n AS freq, p_name AS title_a
+            FROM freq LEFT JOIN (SELECT * FROM part WHERE p_size <= 25) ON item = p_partkey""",
+        ),
+        "stripe_lookup": _q(
+            _LIKED_BRAND,
+            _PAIRS,
+            select="""
+            SELECT item_a, coalesce(max(n) FILTER (item_b = 'Brand#33'), 0) AS n FROM pairs GROUP BY item_a""",
+        ),
     }

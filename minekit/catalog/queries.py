@@ -44,6 +44,21 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return basket.pair_counts(_liked_parts(spark, sf))
 
 
+def titles_or_null(spark: SparkSession, sf: str) -> DataFrame:
+    """Item frequencies with titles from a list that lacks some items; those stay NULL."""
+    titles = t.table(spark, sf, "part").where("p_size <= 25").select(
+        F.col("p_partkey").alias("item"), F.col("p_name").alias("title")
+    )
+    frequency = basket.item_frequency(_liked_parts(spark, sf)).withColumnRenamed("item", "item_a")
+    return basket.with_titles(frequency, ["item_a"], titles, default=None)
+
+
+def stripe_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """One brand looked up in the stripes of all others, which lie in several parts."""
+    pairs = basket.pair_counts(_liked_brands(spark, sf))
+    return basket.stripe_lookup(basket.item_stripes(pairs, max_entries=4), "Brand#33")
+
+
 def user_baskets(spark: SparkSession, sf: str) -> DataFrame:
     lists = basket.user_baskets(_liked_parts(spark, sf))
     return lists.select("user", "part", F.array_join("items", ",").alias("items"))
@@ -248,18 +263,31 @@ def _tok(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_term_counts(spark: SparkSession, sf: str) -> DataFrame:
-    tok = _tok(spark, sf)
-    return text.doc_term_counts(tok, text.vocabulary(tok))
+    return text.bag_of_words(_tok(spark, sf))[0]
 
 
 def _topic_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = _texts(spark, sf)
-    tok = text.tokens(docs)
-    vocab = checkpointed(text.vocabulary(tok))
-    vectors = checkpointed(text.doc_term_vectors(text.doc_term_counts(tok, vocab), vocab), every_core=True)
+    counts, vocab = text.bag_of_words(text.tokens(docs))
+    vectors = checkpointed(text.doc_term_vectors(counts, vocab), every_core=True)
     return docs, vocab, vectors
 
 
+def doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries of the documents' bag-of-words vectors."""
+    return text.vector_entries(_topic_inputs(spark, sf)[2])
+
+
+def dedup_generated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct texts under generated ids: as many ids as rows and as values."""
+    unique = text.dedup_with_id(t.english(spark, sf), "text", "lang", "en")
+    return unique.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("id").alias("n_ids"),
+        F.countDistinct("value").alias("n_values"),
+    )
+
+
 def lda_topics(spark: SparkSession, sf: str) -> DataFrame:
     _, vocab, vectors = _topic_inputs(spark, sf)
     return topics.topic_terms(topics.fit_lda(vectors), vocab)
@@ -270,6 +298,26 @@ def lda_top_documents(spark: SparkSession, sf: str) -> DataFrame:
     return topics.top_documents(topics.fit_lda(vectors), vectors, docs)
 
 
+def _per_topic(report: DataFrame, what: str) -> DataFrame:
+    """Per topic of a report: entries, distinct entries, and whether the weights fall with the rank."""
+    weights = F.transform(F.array_sort(F.collect_list(F.struct("rank", "weight"))), lambda e: e["weight"])
+    return report.groupBy("topic").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct(what).alias("n_distinct"),
+        (weights == F.sort_array(weights, asc=False)).alias("ordered"),
+    )
+
+
+def lda_topics_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the top terms, whichever topics were learned."""
+    return _per_topic(lda_topics(spark, sf), "term")
+
+
+def lda_top_documents_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the top documents, whichever topics were learned."""
+    return _per_topic(lda_top_documents(spark, sf), "id")
+
+
 # --- rankings and metrics ------------------------------------------------------------------
 
 
@@ -338,11 +386,18 @@ def segment_regression(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Trips with a step function of one feature, which a deep enough tree learns exactly."""
+    return t.trips(spark, sf).withColumn("level", F.col("duration_bin") * 100.0)
+
+
 def wide_prediction(spark: SparkSession, sf: str) -> DataFrame:
-    trips = t.trips(spark, sf)
-    model = models.fit_all(trips, "linear", ["l_quantity"], "l_extendedprice", solver="normal")
-    priced = t.table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("l_quantity"))
-    scored = models.score(model, priced).withColumn("prediction", F.round("prediction", 2))
+    """A searched forest scores another table, and the prediction is repeated per month."""
+    found = models.fit_supervised(
+        _levels(spark, sf), "rf", ["l_quantity"], "level", TRIP_KEYS, maxBins=QUANTITY_BINS
+    )
+    sized = t.table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("l_quantity"))
+    scored = models.score(found.model, sized).withColumn("prediction", F.round("prediction", 2))
     return models.wide_prediction(scored, "p_partkey", "ParcelId", MONTHS)
 
 
@@ -350,7 +405,7 @@ def dt_classify(spark: SparkSession, sf: str) -> DataFrame:
     """The class is a step function of one feature, so a deep enough tree learns it exactly."""
     trips = t.trips(spark, sf)
     found = models.fit_supervised(
-        trips, "dt_class", TRIP_FEATURES, "duration_bin", TRIP_KEYS, folds=2, maxBins=QUANTITY_BINS
+        trips, "dt_class", TRIP_FEATURES, "duration_bin", TRIP_KEYS, maxBins=QUANTITY_BINS
     )
     scored = models.score(found.model, trips)
     return scored.groupBy(
@@ -359,10 +414,12 @@ def dt_classify(spark: SparkSession, sf: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _steps(spark: SparkSession, sf: str, kind: str, grid: dict[str, list]) -> DataFrame:
-    """Fit a step function of one feature and report the learned steps."""
-    trips = t.trips(spark, sf).withColumn("level", F.col("duration_bin") * 100.0)
-    found = models.fit_supervised(trips, kind, TRIP_FEATURES, "level", TRIP_KEYS, grid, folds=2, maxBins=QUANTITY_BINS)
+def _steps(spark: SparkSession, sf: str, kind: str, **params) -> DataFrame:
+    """Search and fit a step function of one feature and report the learned steps."""
+    trips = _levels(spark, sf)
+    found = models.fit_supervised(
+        trips, kind, TRIP_FEATURES, "level", TRIP_KEYS, maxBins=QUANTITY_BINS, **params
+    )
     scored = models.score(found.model, trips)
     return scored.groupBy(
         "level", F.round("prediction", 3).alias("prediction")
@@ -370,49 +427,68 @@ def _steps(spark: SparkSession, sf: str, kind: str, grid: dict[str, list]) -> Da
 
 
 def dt_regress(spark: SparkSession, sf: str) -> DataFrame:
-    return _steps(spark, sf, "dt", models.GRIDS["dt"])
+    return _steps(spark, sf, "dt")
 
 
 def gbt_regress(spark: SparkSession, sf: str) -> DataFrame:
-    return _steps(spark, sf, "gbt", {"maxIter": [3, 5]})
-
-
-def _held_out(spark: SparkSession, sf: str, kind: str, grid: dict[str, list], folds: int) -> DataFrame:
-    """Search on 70 %, report the error on the other 30 %."""
-    train, test = prep.hash_split(t.trips(spark, sf), TRIP_KEYS, 0.7)
-    found = models.fit_supervised(train, kind, TRIP_FEATURES, "amount", TRIP_KEYS, grid, folds)
-    scored = models.score(found.model, test)
-    return metrics.metrics_long(metrics.regression_metrics(scored, "amount"), kind)
+    return _steps(spark, sf, "gbt")
 
 
 def rf_regress(spark: SparkSession, sf: str) -> DataFrame:
-    return _held_out(spark, sf, "rf", {"maxDepth": [5, 8]}, 2)
+    """Every tree sees all features, so that each of them can find the steps."""
+    return _steps(spark, sf, "rf", featureSubsetStrategy="all")
 
 
 def linreg_cv(spark: SparkSession, sf: str) -> DataFrame:
-    return _held_out(spark, sf, "linear", models.GRIDS["linear"], 10)
+    """Search on 70 %, report the error on the other 30 %."""
+    train, test = prep.hash_split(t.trips(spark, sf), TRIP_KEYS, 0.7)
+    found = models.fit_supervised(train, "linear", TRIP_FEATURES, "amount", TRIP_KEYS)
+    return metrics.metrics_long(metrics.regression_metrics(models.score(found.model, test), "amount"), "linear")
+
+
+def linreg_cv_check(spark: SparkSession, sf: str) -> DataFrame:
+    """A plane without noise: with a regularisation of 0 to choose, the search finds its coefficients."""
+    features = ["l_quantity", "l_discount", "l_tax"]
+    plane = F.col("l_quantity") * 3 - F.col("l_discount") * 250 + F.col("l_tax") * 100 + 7
+    found = models.fit_supervised(
+        t.trips(spark, sf).withColumn("plane", plane), "linear", features, "plane", TRIP_KEYS,
+        grid=models.GRIDS["linear"] | {"regParam": [1000.0, 0.001, 0.0]},
+    )
+    line = found.model.stages[-1]
+    terms = [*zip(features, map(float, line.coefficients)), ("intercept", float(line.intercept))]
+    return spark.createDataFrame([(n, round(v, 4)) for n, v in terms], "term string, coefficient double")
 
 
 def cv_select(spark: SparkSession, sf: str) -> DataFrame:
+    """All trials over a step function: each setting is exact, and the first wins."""
     return models.fit_supervised(
-        t.trips(spark, sf), "dt", TRIP_FEATURES, "amount", TRIP_KEYS, {"maxDepth": [5, 8]}, 3
+        _levels(spark, sf), "dt", TRIP_FEATURES, "level", TRIP_KEYS, maxBins=QUANTITY_BINS
     ).trials
 
 
 def model_report(spark: SparkSession, sf: str) -> DataFrame:
-    model = models.fit_all(t.trips(spark, sf), "dt", TRIP_FEATURES, "amount", maxDepth=3)
-    return models.model_report(spark, "dt", model)
+    found = models.fit_supervised(t.trips(spark, sf), "dt", TRIP_FEATURES, "amount", TRIP_KEYS)
+    return models.model_report(spark, "dt", found.model)
+
+
+def model_report_check(spark: SparkSession, sf: str) -> DataFrame:
+    """The leaves in the text of a tree that learned a step function."""
+    found = models.fit_supervised(
+        _levels(spark, sf), "dt", TRIP_FEATURES, "level", TRIP_KEYS, maxBins=QUANTITY_BINS
+    )
+    report = models.model_report(spark, "dt", found.model)
+    leaves = F.regexp_extract_all("text", F.lit(r"Predict: (\S+)"), F.lit(1))
+    return report.select(F.explode(leaves).cast("double").alias("level")).distinct()
 
 
 def segment_models(spark: SparkSession, sf: str) -> DataFrame:
     """Classify, route, then one searched regression per predicted class."""
     trips = t.trips(spark, sf)
-    tree = models.fit_all(trips, "dt_class", TRIP_FEATURES, "duration_bin", maxDepth=5)
-    routed = checkpointed(models.score(tree, trips))
+    tree = models.fit_supervised(trips, "dt_class", TRIP_FEATURES, "duration_bin", TRIP_KEYS)
+    routed = checkpointed(models.score(tree.model, trips))
     classes = [r[0] for r in routed.select("prediction").distinct().collect()]  # at most six
     found = models.fit_per_segment(
-        routed, "prediction", sorted(classes), "linear", TRIP_FEATURES, "amount", TRIP_KEYS,
-        grid={"regParam": [1000.0, 0.001]}, folds=2,
+        routed, "prediction", sorted(classes), "linear", TRIP_FEATURES, "amount", TRIP_KEYS
     )
     rows = []
     for k, search in found.items():
@@ -430,16 +506,38 @@ def als_search(spark: SparkSession, sf: str) -> DataFrame:
     return recommend.als_search(_ratings(spark, sf)[0]).trials
 
 
+def als_search_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Every setting on every fold, and the one with the smallest mean error is marked."""
+    trials = als_search(spark, sf)
+    least = trials.agg(F.min("mean_rmse")).first()[0]
+    return trials.groupBy("trial", "setting").agg(
+        F.countDistinct("fold").alias("n_folds"),
+        F.min((F.col("rmse") > 0) & (F.col("rmse") < 5)).alias("in_range"),
+        F.min(F.col("best") == (F.col("mean_rmse") == F.lit(least))).alias("consistent"),
+    )
+
+
 def als_recommend(spark: SparkSession, sf: str) -> DataFrame:
     ratings, keys = _ratings(spark, sf)
-    model = recommend.als_fit(ratings, max_iter=8)
+    model = recommend.als_search(ratings).model
     return recommend.recommend(model, t.part_titles(spark, sf), keys=keys)
 
 
+def als_recommend_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Per user: five different items, ranks from 1 to 5, ratings falling."""
+    listed = F.array_sort(F.collect_list(F.struct("rank", "rating")))  # five entries
+    ratings = F.transform(listed, lambda e: e["rating"])
+    return als_recommend(spark, sf).groupBy(F.col("user").cast("bigint").alias("user")).agg(
+        F.countDistinct("item").alias("n_items"),
+        F.array_join(F.transform(listed, lambda e: e["rank"].cast("string")), ",").alias("ranks"),
+        (ratings == F.sort_array(ratings, asc=False)).alias("ordered"),
+    )
+
+
 def als_recommend_user(spark: SparkSession, sf: str) -> DataFrame:
     """The single-customer report: only customer 0 is scored."""
     ratings, keys = _ratings(spark, sf)
-    model = recommend.als_fit(ratings, max_iter=8)
+    model = recommend.als_search(ratings).model
     asked = t.table(spark, sf, "customer").where("c_custkey = 0").select(F.col("c_custkey").alias("user"))
     return recommend.recommend(model, t.part_titles(spark, sf), asked, keys=keys)
 
@@ -452,14 +550,20 @@ def dense_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def als_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Held-out RMSE, MSE and MAP of the factor model."""
+    """Search on 80 %; setting, sizes, and RMSE, MSE and MAP on the other 20 %."""
     ratings, _ = _ratings(spark, sf)
     train, test = prep.hash_split(ratings, ["user", "item"], 0.8)
-    scored = checkpointed(recommend.als_fit(train, max_iter=8).transform(test))
+    found = recommend.als_search(train)
+    scored = checkpointed(found.model.transform(test))
     ranked = scored.withColumnRenamed("prediction", "score")
     errors = metrics.regression_metrics(scored, "rating").drop("mae")
     precision = metrics.map_score(ranked, ranking.relevant_items(scored))
-    return metrics.metrics_long(errors, "als").unionByName(metrics.metrics_long(precision, "als"))
+    facts = {**found.best, "n_train": train.count(), "n_test": test.count()}
+    return (
+        metrics.metrics_table(spark, [("als", name, float(value)) for name, value in facts.items()])
+        .unionByName(metrics.metrics_long(errors, "als"))
+        .unionByName(metrics.metrics_long(precision, "als"))
+    )
 
 
 def queries() -> dict[str, Query]:
@@ -470,6 +574,8 @@ def queries() -> dict[str, Query]:
         "pairs_named": pairs_named,
         "item_stripes": item_stripes,
         "stripes_named": stripes_named,
+        "titles_or_null": titles_or_null,
+        "stripe_lookup": stripe_lookup,
         "item_frequency": lambda s, d: basket.item_frequency(_liked_parts(s, d)),
         "rule_confidence": lambda s, d: basket.rules_confidence(_liked_brands(s, d)),
         "rule_confidence_one_way": rule_confidence_one_way,
@@ -499,6 +605,8 @@ def queries() -> dict[str, Query]:
         "top_terms": lambda s, d: text.top_terms(_tok(s, d)),
         "vocabulary": lambda s, d: text.vocabulary(_tok(s, d)),
         "doc_term_counts": doc_term_counts,
+        "doc_vectors": doc_vectors,
+        "dedup_generated_ids": dedup_generated_ids,
         "relevant_sets": relevant_sets,
         "topn_per_user": lambda s, d: ranking.topn_per_user(t.scored_events(s, d)),
         "ranked_lists": ranked_lists,
@@ -514,14 +622,20 @@ def queries() -> dict[str, Query]:
         "gbt_regress": gbt_regress,
         "rf_regress": rf_regress,
         "linreg_cv": linreg_cv,
+        "linreg_cv_check": linreg_cv_check,
         "cv_select": cv_select,
         "model_report": model_report,
+        "model_report_check": model_report_check,
         "segment_models": segment_models,
         "als_recommend": als_recommend,
+        "als_recommend_check": als_recommend_check,
         "als_recommend_user": als_recommend_user,
         "dense_keys": dense_keys,
         "als_search": als_search,
+        "als_search_check": als_search_check,
         "als_metrics": als_metrics,
         "lda_topics": lda_topics,
+        "lda_topics_check": lda_topics_check,
         "lda_top_documents": lda_top_documents,
+        "lda_top_documents_check": lda_top_documents_check,
     }

@@ -68,6 +68,19 @@ def pair_counts(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_BLOCK)
     * Both sides of the self-join are the same table, so they share one shuffle; counts are
       combined map-side before the only pair-sized shuffle.
     """
+    return _counted(liked, min_pairs, block, frequencies=False)
+
+
+def pair_frequencies(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_BLOCK) -> DataFrame:
+    """``pair_counts`` with ``freq_a`` and ``freq_b``, how many users like either item.
+
+    Each row takes the frequency of its item along before the self-join, so the pairs, which are
+    far more than the rows, are never shuffled to look frequencies up.
+    """
+    return _counted(liked, min_pairs, block, frequencies=True)
+
+
+def _counted(liked: DataFrame, min_pairs: int, block: int, frequencies: bool) -> DataFrame:
     # no cost for `liked_items`, whose rows are distinct: the optimiser drops the second aggregate
     rows = liked.select("user", "item").distinct()
     large = large_groups(rows, "user", block)
@@ -81,11 +94,14 @@ def pair_counts(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_BLOCK)
             marked.groupBy("item")
             .agg(F.count(F.lit(1)).alias("freq"), F.coalesce(F.bit_or("bit"), held).alias("held"))
             .where(F.col("freq") >= min_pairs)
-            .select("item", "held")
         )
-        rows = marked.where(F.col("bit").isNull()).join(items, "item").select("user", "item", "held")
+        rows = marked.where(F.col("bit").isNull()).join(items, "item")
+    elif frequencies:
+        rows = rows.join(rows.groupBy("item").agg(F.count(F.lit(1)).alias("freq")), "item").withColumn("held", held)
     else:
         rows = rows.withColumn("held", held)
+    carried = ["held", "freq"] if frequencies else ["held"]
+    rows = rows.select("user", "item", *carried)
     every_block = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
     cells = (
         in_parts(rows, "user", "item", block, large)
@@ -93,7 +109,7 @@ def pair_counts(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_BLOCK)
         .select(
             "user",
             "item",
-            "held",
+            *carried,
             "part",
             F.least("part", "other").alias("lo"),
             F.greatest("part", "other").alias("hi"),
@@ -114,16 +130,17 @@ def pair_counts(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_BLOCK)
         F.least("x.item", "y.item").alias("item_a"),
         F.greatest("x.item", "y.item").alias("item_b"),
     ]
-    seen = F.count(F.lit(1))
-    if min_pairs == 1:
-        return met.select(*pair).groupBy("item_a", "item_b").agg(seen.alias("n"))
     both = F.bit_count(F.col("x.held").bitwiseAND(F.col("y.held"))).cast("bigint")
-    return (
-        met.select(*pair, both.alias("both"))
-        .groupBy("item_a", "item_b")
-        .agg((seen + F.max("both")).alias("n"))
-        .where(F.col("n") >= min_pairs)
-    )
+    n = F.count(F.lit(1)) if min_pairs == 1 else F.count(F.lit(1)) + F.max("both")
+    columns = [*pair, *[both.alias("both")] * (min_pairs > 1)]
+    taken = []
+    if frequencies:
+        ordered = F.col("x.item") < F.col("y.item")
+        for name, first, second in (("freq_a", "x.freq", "y.freq"), ("freq_b", "y.freq", "x.freq")):
+            columns.append(F.when(ordered, F.col(first)).otherwise(F.col(second)).alias(name))
+            taken.append(F.max(name).alias(name))  # the same in all rows of a pair
+    counted = met.select(*columns).groupBy("item_a", "item_b").agg(n.alias("n"), *taken)
+    return counted.where(F.col("n") >= min_pairs) if min_pairs > 1 else counted
 
 
 def _largest_baskets(large: DataFrame, k: int) -> DataFrame:
@@ -213,16 +230,13 @@ def rules_confidence(
 
     ``directed`` evaluates both orientations of every pair; otherwise only ``item_a < item_b``.
     """
-    pairs = pair_counts(liked, min_pairs, block)
+    pairs = pair_frequencies(liked, min_pairs, block)
+    ways = [F.struct("item_a", "item_b", "n", F.col("freq_a").alias("n_a"))]
     if directed:
-        both = F.array(
-            F.struct("item_a", "item_b"),
-            F.struct(F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b")),
-        )
-        pairs = pairs.select(F.explode(both).alias("p"), "n").select("p.item_a", "p.item_b", "n")
-    freq_a = item_frequency(liked).select(F.col("item").alias("item_a"), F.col("freq").alias("n_a"))
+        back = (F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"), "n", F.col("freq_b").alias("n_a"))
+        ways.append(F.struct(*back))
     return (
-        pairs.join(freq_a, "item_a")
+        pairs.select(F.inline(F.array(*ways)))
         .withColumn("confidence", F.col("n").cast("double") / F.col("n_a"))
         .where(F.col("confidence") > F.lit(float(min_conf)))
         .select("item_a", "item_b", "n", "n_a", "confidence")
@@ -246,15 +260,10 @@ def rules_lift(
         raise ValueError("denominator is 'rows' or 'baskets'")
     counted = liked.select("user", *["item"] * (denominator == "rows")).distinct()
     total = counted.agg(F.count(F.lit(1)).cast("double")).scalar()
-    freq = item_frequency(liked)
-    freq_a = freq.select(F.col("item").alias("item_a"), F.col("freq").alias("freq_a"))
-    freq_b = freq.select(F.col("item").alias("item_b"), F.col("freq").alias("freq_b"))
     observed = F.col("n").cast("double") * F.col("total")
     expected = F.col("freq_a").cast("double") * F.col("freq_b")
     return (
-        pair_counts(liked, min_pairs, block)
-        .join(freq_a, "item_a")
-        .join(freq_b, "item_b")
+        pair_frequencies(liked, min_pairs, block)
         .withColumn("total", total)
         .where(observed > F.lit(float(min_lift)) * expected)
         .select("item_a", "item_b", "n", "freq_a", "freq_b", (observed / expected).alias("lift"))

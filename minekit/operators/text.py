@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minekit.functions import word_array
-from minekit.operators.scale import number_rows, with_row_id
+from minekit.operators.scale import checkpointed, number_rows, with_row_id
 
 
 def dedup_with_id(
@@ -74,9 +74,19 @@ def top_terms(tok: DataFrame, k: int = 100) -> DataFrame:
     return term_counts(tok).orderBy(F.desc("n"), "term").limit(k)
 
 
+def doc_terms(tok: DataFrame) -> DataFrame:
+    """How often each term occurs in each document: ``(id, term, n)``."""
+    return token_rows(tok).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def vocabulary(tok: DataFrame, drop_top: int = 25) -> DataFrame:
     """``(idx, term)``: terms by falling frequency, the first ``drop_top`` left out, idx from 0."""
-    ranked = number_rows(term_counts(tok), [F.desc("n"), F.asc("term")], "idx")
+    return ranked_terms(term_counts(tok), drop_top)
+
+
+def ranked_terms(counts: DataFrame, drop_top: int = 25) -> DataFrame:
+    """``vocabulary`` from counted terms ``(term, n)``."""
+    ranked = number_rows(counts, [F.desc("n"), F.asc("term")], "idx")
     return ranked.where(F.col("idx") >= drop_top).select(
         (F.col("idx") - F.lit(drop_top)).alias("idx"), "term"
     )
@@ -88,13 +98,18 @@ def doc_term_counts(tok: DataFrame, vocab: DataFrame) -> DataFrame:
     Counted per document before the vocabulary join, so the join sees one row per distinct
     (document, term). The vocabulary is a table; it is never collected.
     """
-    return (
-        token_rows(tok)
-        .groupBy("id", "term")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(vocab, "term")
-        .select("id", "idx", "n")
-    )
+    return doc_terms(tok).join(vocab, "term").select("id", "idx", "n")
+
+
+def bag_of_words(tok: DataFrame, drop_top: int = 25) -> tuple[DataFrame, DataFrame]:
+    """Document-term counts ``(id, idx, n)`` and their vocabulary ``(idx, term)``.
+
+    Texts are read and tokenised once: the counts per document are written, and the vocabulary
+    is ranked by their sums.
+    """
+    terms = checkpointed(doc_terms(tok))
+    vocab = checkpointed(ranked_terms(terms.groupBy("term").agg(F.sum("n").alias("n")), drop_top))
+    return terms.join(vocab, "term").select("id", "idx", "n"), vocab
 
 
 def doc_term_vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -124,3 +139,11 @@ def doc_term_vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
         .select("id", F.from_json(features, schema).alias("j"))
         .select("id", "j.features")
     )
+
+
+def vector_entries(vectors: DataFrame) -> DataFrame:
+    """``(id, idx, value)``: the stored entries of sparse vectors, the way back from ``doc_term_vectors``."""
+    entries = "features struct<indices: array<int>, values: array<double>>"
+    read = vectors.select("id", F.from_json(F.to_json(F.struct("features")), entries).alias("j"))
+    zipped = F.arrays_zip("j.features.indices", "j.features.values")
+    return read.select("id", F.inline(zipped).alias("idx", "value")).withColumn("idx", F.col("idx").cast("bigint"))

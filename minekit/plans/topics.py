@@ -20,8 +20,8 @@ def model(spark: SparkSession, docs_path: str, out_dir: str, k: int = 5, iterati
     """Top 100 terms of the corpus, top 30 terms and top 20 documents per topic."""
     docs = read_csv(spark, docs_path, DOCUMENTS, multi_line=True)
     tok = text.tokens(docs)
-    vocab = checkpointed(text.vocabulary(tok))
-    vectors = checkpointed(text.doc_term_vectors(text.doc_term_counts(tok, vocab), vocab), every_core=True)
+    counts, vocab = text.bag_of_words(tok)
+    vectors = checkpointed(text.doc_term_vectors(counts, vocab), every_core=True)
     lda = topics.fit_lda(vectors, k, iterations)
     terms = topics.topic_terms(lda, vocab).orderBy("topic", "rank")
     best = topics.top_documents(lda, vectors, docs).orderBy("topic", "rank")
