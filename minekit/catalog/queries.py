@@ -478,7 +478,7 @@ def model_report_check(spark: SparkSession, sf: str) -> DataFrame:
     )
     report = models.model_report(spark, "dt", found.model)
     leaves = F.regexp_extract_all("text", F.lit(r"Predict: (\S+)"), F.lit(1))
-    return report.select(F.explode(leaves).cast("double").alias("level")).distinct()
+    return report.select(F.explode(leaves.cast("array<double>")).alias("level")).distinct()
 
 
 def segment_models(spark: SparkSession, sf: str) -> DataFrame:
