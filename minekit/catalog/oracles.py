@@ -91,7 +91,7 @@ top AS (
   WHERE "rank" <= 15
 )"""
 _HASH = "CAST('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8) AS BIGINT)"
-_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
+_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 
 
 def _q(*ctes: str, select: str) -> str:
@@ -214,6 +214,7 @@ def oracle_sql() -> dict[str, str]:
         "typed_projection": """
             SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS INTEGER) AS l_quantity,
                    l_extendedprice, CAST(trunc(l_discount) AS INTEGER) AS discount_floor,
+                   CAST(trunc(l_extendedprice * 1000) AS BIGINT) AS milli_price,
                    TRY_CAST(l_returnflag AS INTEGER) AS not_a_number
             FROM lineitem""",
         "null_profile": _q(

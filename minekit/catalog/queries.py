@@ -132,6 +132,7 @@ def typed_projection(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_quantity").cast("string").alias("l_quantity"),
         F.col("l_extendedprice").cast("string").alias("l_extendedprice"),
         F.col("l_discount").cast("string").alias("discount_floor"),
+        (F.col("l_extendedprice") * 1000).cast("string").alias("milli_price"),  # with exponents from 10^7 on
         F.col("l_returnflag").alias("not_a_number"),
     )
     return prep.typed_projection(
@@ -142,6 +143,7 @@ def typed_projection(spark: SparkSession, sf: str) -> DataFrame:
             "l_quantity": "int",
             "l_extendedprice": "double",
             "discount_floor": "int",
+            "milli_price": "bigint",
             "not_a_number": "int",
         },
     )
@@ -197,11 +199,15 @@ def kfold_train_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- files ---------------------------------------------------------------------------------
 
-ORDER_SCHEMA = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double"
+ORDER_SCHEMA = (
+    "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string"
+)
+ORDER_COLUMNS = [part.split()[0] for part in ORDER_SCHEMA.split(", ")]
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
-    return t.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return t.table(spark, sf, "orders").select(*ORDER_COLUMNS)
 
 
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from minekit.operators import metrics, models, prep
-from minekit.operators.scale import with_row_id
 from minekit.sources import read_csv, write_csv, write_text
 from minekit.sources.schemas import (
     HOUSING_FEATURES,
@@ -50,9 +49,8 @@ def regress(
     """Search a ``dt``, ``rf`` or ``gbt`` model on 70 %, report its error on the other 30 %."""
     raw = read_csv(spark, train_path, TRAINING)
     dropped = prep.drop_report(raw).first()
-    rows = with_row_id(prep.drop_nulls(raw))
-    train, test = prep.hash_split(rows, ["row_id"], 0.7)
-    found = models.fit_supervised(train, kind, HOUSING_FEATURES, HOUSING_LABEL, ["row_id"], grid, folds)
+    train, test = prep.hash_split(prep.drop_nulls(raw), ["id_parcel"], 0.7)
+    found = models.fit_supervised(train, kind, HOUSING_FEATURES, HOUSING_LABEL, ["id_parcel"], grid, folds)
     rmse = metrics.regression_metrics(models.score(found.model, test), HOUSING_LABEL).first()["rmse"]
     report = [
         (kind, "rows_before", dropped["rows_before"]),

@@ -10,15 +10,19 @@ from minekit.sources import read_csv, write_csv
 from minekit.sources.schemas import DOCUMENTS, POSTS
 
 
-def prepare(spark: SparkSession, posts_glob: str, out: str) -> str:
-    """Distinct English contents of all matching files as ``id,value``."""
-    write_csv(text.dedup_with_id(read_csv(spark, posts_glob, POSTS, multi_line=True)), out)
+def prepare(spark: SparkSession, posts_glob: str, out: str, multi_line: bool = False) -> str:
+    """Distinct English contents of all matching files as a Parquet table ``(id, value)``.
+
+    Files are read by lines and split among tasks. Contents with line breaks need ``multi_line``, which
+    reads each file in one task.
+    """
+    text.dedup_with_id(read_csv(spark, posts_glob, POSTS, multi_line=multi_line)).write.parquet(out)
     return out
 
 
 def model(spark: SparkSession, docs_path: str, out_dir: str, k: int = 5, iterations: int = 20) -> str:
     """Top 100 terms of the corpus, top 30 terms and top 20 documents per topic."""
-    docs = read_csv(spark, docs_path, DOCUMENTS, multi_line=True)
+    docs = spark.read.schema(DOCUMENTS).parquet(docs_path)
     tok = text.tokens(docs)
     counts, vocab = text.bag_of_words(tok)
     vectors = checkpointed(text.doc_term_vectors(counts, vocab), every_core=True)

@@ -79,8 +79,9 @@ def test_topic_programs(spark, sf_dir):
     )
     out = scratch_path(spark, "posts")
     write_csv(posts.repartition(3), out + "/in")
-    prepared = topics.prepare(spark, out + "/in/*.csv", out + "/texts")
-    found = read_csv(spark, prepared, "id long, value string", multi_line=True)
+    prepared = topics.prepare(spark, out + "/in/*.csv", out + "/texts", multi_line=True)
+    found = spark.read.parquet(prepared)
+    assert found.columns == ["id", "value"]
     expected = {r.content for r in posts.where("language = 'English'").select("content").collect()}
     got = found.collect()
     assert {r.value for r in got} == expected
