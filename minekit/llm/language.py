@@ -22,7 +22,7 @@ from minekit.llm.common import held_out, importable, text_of
 ORDER = 3
 #: Documents per language that the trees are learned from at most: those with the smallest id hashes.
 MAX_TRAIN = 400
-#: Parts of a language in which ids are ranked before they are ranked together; does not change the result.
+#: Groups of input partitions in which ids are ranked before they are ranked together; no change of the result.
 RANK_PARTS = 64
 #: Contexts of full order that occur less often in all languages together are left out.
 LEAST_CONTEXT = 2
@@ -176,8 +176,9 @@ def train(
     rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     fit = rows.where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = (F.xxhash64("id"), "id")
-    ids = fit.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(RANK_PARTS)).alias("part"))
-    # first within parts of a language, so that no task ranks more than RANK_PARTS * max_train of its ids
+    ids = fit.select("id", "lang", (F.spark_partition_id() % RANK_PARTS).alias("part"))
+    # each input partition gives max_train ids a language at most; these are ranked within groups of input
+    # partitions first. The first ids of all are among the first of their groups, however rows are dealt
     in_part = Window.partitionBy("lang", "part").orderBy(*order)
     first = ids.withColumn("at", F.row_number().over(in_part)).where(F.col("at") <= max_train).drop("at")
     by_hash = Window.partitionBy("lang").orderBy(*order)
