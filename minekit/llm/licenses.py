@@ -3,13 +3,14 @@
 A text becomes its lower-case words joined by single blanks, so the rules need not care about
 case, punctuation or line ends. A rule is a regular expression with a keyword and a priority. Only
 texts with one of a few gate words are looked at, and of the rules only those whose keyword is in
-the text are run. Detections are resolved in the order of their places: one inside another is
+the text are run; all that a rule matches holds its keyword and passes the gate. Detections are resolved in the order of their places: one inside another is
 suppressed, of two that merely overlap the one of better priority stays.
 """
 
 from __future__ import annotations
 
 import json
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +22,10 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 # Parts of words; every rule and base phrase needs all parts of one line.
 GATE = (("licen",), ("spdx",), ("all", "rights", "reserved"), ("public", "domain"), ("creative",))
-GATE += (("cc", "by"), ("cc0",), ("gpl",), ("bsd",), ("gnu",))
+GATE += (("cc", "by"), ("cc0",), ("gpl",), ("bsd",), ("gnu",), ("mit", "attribution"))
 
-# Label, keyword, identifier as words, names as regular expressions over words. A name
-# under "?" may miss the version that the label has; those without one are generic and come last.
+# Label, keyword, identifier as words, names as regular expressions over words. The keyword
+# serves the names that hold it, all else gets its own. A name under "?" may miss the version that the label has; those without one are generic and come last.
 FAMILIES = """
 mit | mit | mit | mit license; expat license; mit expat license; x11 license
 mit-0 | mit 0 | mit 0 | mit no attribution(?: license)?; mit 0 license
@@ -100,6 +101,48 @@ FORMS = (
 )
 
 
+def spelled(pattern: str) -> list[str]:
+    """All texts that a name, an identifier or a form of FORMS matches, lookarounds left out.
+
+    They are few: such a pattern has groups of alternatives, sets of letters and question marks only.
+    """
+
+    def choices(at: int) -> tuple[list[str], int]:
+        out, parts = [], [[""]]
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern[at] == "|":
+                out += map("".join, product(*parts))
+                parts, at = [[""]], at + 1
+                continue
+            if pattern.startswith("(?!", at):
+                at = pattern.index(")", at) + 1
+                continue
+            if pattern.startswith("(?:", at):
+                part, at = choices(at + 3)
+            elif pattern[at] == "[":
+                end = pattern.index("]", at)
+                part, at = list(pattern[at + 1 : end]), end
+            else:
+                part = [pattern[at]]
+            at += 1
+            if pattern[at : at + 1] == "?":
+                part, at = ["", *part], at + 1
+            parts.append(part)
+        return out + list(map("".join, product(*parts))), at
+
+    return list(dict.fromkeys(choices(0)[0]))
+
+
+def keyword_of(pattern: str, wanted: str) -> str:
+    """``wanted`` if all that ``pattern`` matches holds it, else the longest text that all of it holds."""
+    texts = spelled(pattern)
+    if all(wanted in text for text in texts):
+        return wanted
+    first = min(texts, key=len)
+    parts = [first[i:j] for i in range(len(first)) for j in range(i + 1, len(first) + 1)]
+    return max((part for part in parts if all(part in text for text in texts)), key=len)
+
+
 def rules() -> list[dict]:
     """Every family in every form: the regular expressions, in the order of their priority."""
     families = [tuple(x.strip() for x in line.split(" | ")) for line in FAMILIES.strip().splitlines()]
@@ -111,7 +154,8 @@ def rules() -> list[dict]:
                 body = pattern.format(identifier=identifier, name=f"(?:{name.strip()})")
                 rule = {"label": label, "priority": 1000 * form + generic + rank, "strength": strength}
                 if "{name}" in pattern or rule not in [{k: r[k] for k in rule} for r in out]:
-                    out.append({**rule, "keyword": keyword, "pattern": f"(?<= ){body}(?= )"})
+                    own = keyword_of(name.strip() if "{name}" in pattern else identifier, keyword)
+                    out.append({**rule, "keyword": own, "pattern": f"(?<= ){body}(?= )"})
     return out
 
 

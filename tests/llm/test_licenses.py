@@ -1,6 +1,7 @@
 import re
 
 import fixtures
+from pyspark.sql import functions as F
 
 from minekit.llm import licenses
 
@@ -68,3 +69,33 @@ def test_rules_are_many_and_valid():
 
 def test_empty_table(no_docs):
     assert licenses.digest_columns(licenses.scan_licenses(no_docs)).collect() == []
+
+
+def test_every_rule_passes_gate_and_keyword_and_is_detected(spark):
+    rules, texts = licenses.rules(), []
+    for n, rule in enumerate(rules):
+        spelled = licenses.spelled(rule["pattern"].removeprefix("(?<= )").removesuffix("(?= )"))
+        for text in spelled:
+            assert re.fullmatch(rule["pattern"][6:-5], text), (rule, text)
+            assert rule["keyword"] in text, (rule, text)
+            assert any(all(part in text for part in parts) for parts in licenses.GATE), (rule, text)
+        texts += [(n, min(spelled, key=len)), (n, max(spelled, key=len))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = df.select("doc_id", licenses.detections(licenses.words_of(F.col("text"))).alias("found"))
+    for row in found.collect():
+        rule = rules[row.doc_id]
+        assert (rule["label"], rule["priority"]) in [(x.label, x.priority) for x in row.found], rule
+    scanned = licenses.digest_columns(licenses.scan_licenses(df))
+    assert scanned.where("score = 0 or labels = ''").collect() == []
+
+
+def test_identifiers_and_short_names(spark):
+    ids = [
+        "GPL-1.0", "GPL-2.0-only", "GPL-3.0-or-later", "LGPL-2.1", "AGPL-3.0-only", "GFDL-1.3", "MPL-2.0", "EPL-2.0",
+        "EUPL-1.2", "CDDL-1.0", "BSL-1.0", "OFL-1.1", "ODbL-1.0", "MS-PL",
+    ]
+    rows, _ = scan(spark, *[f"// SPDX-License-Identifier: {x}" for x in ids])
+    want = [x.lower().removesuffix("-only").removesuffix("-or-later") for x in ids]
+    assert [(r["labels"], r["score"]) for r in rows] == [(x, 1.0) for x in want]
+    rows, _ = scan(spark, "licensed under the GNU GPL v3", "Expat License", "mit no attribution")
+    assert [(r["labels"], r["score"]) for r in rows] == [("gpl-3.0", 0.95), ("mit", 0.6), ("mit-0", 0.6)]
