@@ -27,6 +27,9 @@ RANK_PARTS = 64
 #: Contexts of full order that occur less often in all languages together are left out.
 LEAST_CONTEXT = 2
 UNKNOWN = "und"
+#: A text is none of the learned languages if it needs more than FAR times the bits per byte that the median
+#: held-out text of its language needs, and SLACK bits, which a few unknown words cost.
+FAR, SLACK = 2.5, 128
 _SLICE = 1_000_000
 _START = b"\0" * ORDER
 
@@ -160,6 +163,22 @@ def build(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Trees | None:
     return Trees(languages, c1, m2, c2, m3, m4, c4, e3)
 
 
+def _chosen(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_train: int, held: bool) -> DataFrame:
+    """``(lang, text)`` of at most ``max_train`` ids of each language, of the held-out ids or of the others."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    fit = rows.where((held_out("id") == held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    order = (F.xxhash64("id"), "id")
+    ids = fit.select("id", "lang", (F.spark_partition_id() % RANK_PARTS).alias("part"))
+    # each input partition gives max_train ids a language at most; these are ranked within groups of input
+    # partitions first. The first ids of all are among the first of their groups, however rows are dealt
+    in_part = Window.partitionBy("lang", "part").orderBy(*order)
+    first = ids.withColumn("at", F.row_number().over(in_part)).where(F.col("at") <= max_train).drop("at")
+    by_hash = Window.partitionBy("lang").orderBy(*order)
+    chosen = first.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= max_train)
+    # at most max_train ids a language: the bound of this broadcast
+    return fit.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"]).select("lang", "text")
+
+
 def train(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -173,18 +192,7 @@ def train(
     the counts up, and only the sums come to the driver. Documents without text, language or id
     teach nothing.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    fit = rows.where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = (F.xxhash64("id"), "id")
-    ids = fit.select("id", "lang", (F.spark_partition_id() % RANK_PARTS).alias("part"))
-    # each input partition gives max_train ids a language at most; these are ranked within groups of input
-    # partitions first. The first ids of all are among the first of their groups, however rows are dealt
-    in_part = Window.partitionBy("lang", "part").orderBy(*order)
-    first = ids.withColumn("at", F.row_number().over(in_part)).where(F.col("at") <= max_train).drop("at")
-    by_hash = Window.partitionBy("lang").orderBy(*order)
-    chosen = first.withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= max_train)
-    # at most max_train ids a language: the bound of this broadcast
-    texts = fit.join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"]).select("lang", "text")
+    texts = _chosen(df, id_col, text_col, lang_col, max_train, held=False)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -234,6 +242,44 @@ def predict(df: DataFrame, trees: Trees | None, text_col: str = "text", name: st
     return df.withColumn(name, best(text_of(text_col)))
 
 
+def usual_bits(
+    df: DataFrame,
+    trees: Trees,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    max_train: int = MAX_TRAIN,
+) -> dict[str, float]:
+    """Bits per byte of the median text of each predicted language, from held-out texts that train never sees.
+
+    At most ``max_train`` of each language are asked; a language that none of them has is left out.
+    """
+    told = predict(_chosen(df, id_col, text_col, lang_col, max_train, held=True), trees, "text")
+    rows = told.select("language.*").where(F.col("lang_pred") != UNKNOWN)
+    return {r.lang_pred: r.m for r in rows.groupBy("lang_pred").agg(F.median("bits").alias("m")).collect()}
+
+
+def known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df`` whose text is in a learned language, all columns as they are.
+
+    Out go texts without a letter and those beyond FAR and SLACK, for a language without held-out
+    texts by the largest of the others. If nothing can be learned, or nothing held out, letters decide.
+    """
+    letters = df.where(text_of(text_col).rlike(r"\p{L}"))
+    trees = train(df, id_col, text_col, lang_col)
+    usual = usual_bits(df, trees, id_col, text_col, lang_col) if trees else {}
+    if not usual:
+        return letters
+    told = predict(df, trees, text_col, name="_language")
+    pred, bits = F.col("_language.lang_pred"), F.col("_language.bits")
+    rate = F.lit(max(usual.values()))
+    for lang, median in usual.items():
+        rate = F.when(pred == lang, F.lit(median)).otherwise(rate)
+    size = F.octet_length(text_of(text_col))
+    near = bits * size <= FAR * rate * size + SLACK
+    return told.where((pred != UNKNOWN) & near).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def identify(df: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, bits)`` of every row; repeated rows repeat their result."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
