@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from minekit.llm import (
+    html_text,
     language,
     licenses,
     line_rules,
+    negatives,
     packing,
     quality,
+    runs,
     secret_scan,
     segmentation,
     simhash,
@@ -66,6 +69,19 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(documents(spark, sf_dir), texts=False)
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest_columns(runs.find_runs(documents(spark, sf_dir), edit=runs.planted))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest_columns(html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = negatives.moved_labels(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return negatives.mine(negatives.whole_vectors(vectors))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts,
@@ -78,6 +94,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_winnowing,
         op9_licenses,
         op10_line_rules,
+        op11_runs,
+        op12_main_text,
+        op13_hard_negatives,
     )
     return {f.__name__: f for f in every}
 
