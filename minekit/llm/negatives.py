@@ -15,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minekit.llm.common import importable, written
 
-#: Anchors that share a centroid on average, and the most centroids: the centroids are sent to every task.
-CLUSTER, MAX_CENTROIDS = 256, 1024
+#: Clusters of anchors, at every size: each has its own list of all candidates. Large ones walk in blocks.
+CLUSTERS = 8
 #: Anchors from which centroids and band limits are learned, a bounded sample: any of them give exact results.
 TRAIN = 4096
 #: Anchors that walk together in one task, and candidates in the stretch of a list that one task walks.
@@ -119,15 +119,14 @@ class Lists:
 def clustered(anchors: DataFrame, rows: DataFrame) -> tuple[DataFrame, Lists]:
     """``anchors`` with ``cluster`` and ``block``, written once, and the lists they walk.
 
-    To the driver go ``TRAIN`` anchors and a few numbers for each of at most ``MAX_CENTROIDS`` clusters.
+    To the driver go ``TRAIN`` anchors and a few numbers for each of the ``CLUSTERS``.
     """
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.max("norm").alias("norm")).first()
     width = facts["width"] or 0
     sample = anchors.select("v", F.xxhash64("id").alias("at")).orderBy("at").limit(TRAIN).toPandas()["v"]
     learned = matrix(sample, width, float)
     directions = unit(learned)[np.linalg.norm(learned, axis=1) > 0]
-    k = min(MAX_CENTROIDS, max(1, math.ceil(anchors.count() / CLUSTER)))
-    to = centroids(directions, k) if len(directions) else np.zeros((1, width))
+    to = centroids(directions, CLUSTERS) if len(directions) else np.zeros((1, width))
 
     @F.pandas_udf("struct<cluster:int,angle:double>")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
@@ -224,8 +223,8 @@ class Walk:
         )
 
 
-def _in_band(lists: Lists, alive: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """For a vector its bound in every cluster, NaN where the cluster is done or another band has it."""
+def _in_band(lists: Lists, alive: np.ndarray, start: np.ndarray, end: np.ndarray) -> Column:
+    """``(cluster, bound)`` of a vector ``v`` in every cluster that goes on and has it in this band."""
 
     @F.pandas_udf("array<double>")
     def bound(vectors: pd.Series) -> pd.Series:
@@ -234,7 +233,8 @@ def _in_band(lists: Lists, alive: np.ndarray, start: np.ndarray, end: np.ndarray
         values[(values >= start) | (values < end)] = np.nan
         return pd.Series(list(values))
 
-    return bound
+    placed = F.transform(bound("v"), lambda x, i: F.struct(i.alias("cluster"), x.alias("bound")))
+    return F.filter(placed, lambda e: e["bound"] < float("inf"))  # neither null nor NaN
 
 
 _ASKS = "array<struct<key:bigint,low:double,high:double,floor:double>>"
@@ -259,11 +259,10 @@ def walked(anchors: DataFrame, rows: DataFrame, lists: Lists, same: bool, k: int
         end = lists.ends[:, band]
         stretches = max(1, math.ceil(lists.rows * (share - (BANDS[band - 1] if band else 0.0)) / STRETCH))
 
-        placed = F.posexplode(_in_band(lists, alive, start, end)("v")).alias("cluster", "bound")
+        placed = F.inline(_in_band(lists, alive, start, end)).alias("cluster", "bound")
         blocks = F.element_at(F.lit([int(max(n, 1)) for n in lists.blocks]), F.col("cluster") + 1)
         listed = (
             rows.select("id", "label", "v", placed)
-            .where(F.col("bound") < float("inf"))  # neither null nor NaN
             .withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
             .withColumn("stretch", F.pmod(F.xxhash64("id"), F.lit(stretches)).cast("int"))
             .withColumns({"norm": F.lit(None).cast("double"), "asks": F.lit(None).cast(_ASKS)})

@@ -54,7 +54,7 @@ def test_query_equals_brute_force(spark):
 
 
 def test_small_blocks_stretches_and_ties(spark, monkeypatch):
-    for name, value in (("CLUSTER", 4), ("BLOCK", 3), ("STRETCH", 100), ("_STEP", 16)):
+    for name, value in (("CLUSTERS", 5), ("BLOCK", 3), ("STRETCH", 100), ("_STEP", 16)):
         monkeypatch.setattr(negatives, name, value)
     rng = random.Random(4)
     base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
