@@ -34,6 +34,19 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def unused(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or a longer name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, also those with dots in their names."""
+    return [F.col("`{}`".format(c.replace("`", "``"))) for c in df.columns]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value`` computed once, however often ``body`` names it.
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from minekit.llm.common import held_out, importable, text_of
+from minekit.llm.common import columns_of, held_out, importable, text_of, unused
 
 ORDER = 3
 #: Documents per language that the trees are learned from at most: those with the smallest id hashes.
@@ -270,14 +270,15 @@ def known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     usual = usual_bits(df, trees, id_col, text_col, lang_col) if trees else {}
     if not usual:
         return letters
-    told = predict(df, trees, text_col, name="_language")
-    pred, bits = F.col("_language.lang_pred"), F.col("_language.bits")
+    name = unused(df, "_language")
+    told = predict(df, trees, text_col, name=name)
+    pred, bits = F.col(f"{name}.lang_pred"), F.col(f"{name}.bits")
     rate = F.lit(max(usual.values()))
     for lang, median in usual.items():
         rate = F.when(pred == lang, F.lit(median)).otherwise(rate)
     size = F.octet_length(text_of(text_col))
     near = bits * size <= FAR * rate * size + SLACK
-    return told.where((pred != UNKNOWN) & near).select(*[F.col(f"`{c}`") for c in df.columns])
+    return told.where((pred != UNKNOWN) & near).select(*columns_of(df))
 
 
 def identify(df: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minekit.llm.common import text_of, written
+from minekit.llm.common import columns_of, text_of, unused, written
 
 # The base kinds in their order, with the group of the value and its least length. A run
 # that is greedy and has no choice inside may ask for its length in the pattern itself.
@@ -214,7 +214,7 @@ def masked(
     Values of one owner become ``[secret]``, copied examples ``[example]``. Only texts with a
     candidate are shuffled; all others pass in place.
     """
-    found, digest = "_found_secrets", "_text_digest"
+    found, digest, secrets = (unused(df, c) for c in ("_found_secrets", "_text_digest", "_secrets"))
     text = text_of(text_col)
     gate = may_hold(text)
     hits = df.where(gate).withColumn(found, candidates(text)).withColumn(digest, F.sha2(text, 256))
@@ -227,12 +227,12 @@ def masked(
         ),
         "masked",
     )
-    places = judged(marked, copied_owners).withColumnRenamed("text_digest", digest)
+    places = judged(marked, copied_owners).select(F.col("text_digest").alias(digest), F.col("secrets").alias(secrets))
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
         F.array_sort(
             F.transform(
-                F.col("secrets"),
+                F.col(secrets),
                 lambda x: F.struct(x["value_start"].alias("a"), x["value_end"].alias("b"), x["copied"].alias("c")),
             )
         ),
@@ -254,8 +254,8 @@ def masked(
         df.where(gate)
         .withColumn(digest, F.sha2(text, 256))
         .join(places, digest, "left")
-        .withColumn(text_col, F.when(F.col("secrets").isNull(), F.col(text_col)).otherwise(cut))
-        .select(*df.columns)
+        .withColumn(text_col, F.when(F.col(secrets).isNull(), F.col(text_col)).otherwise(cut))
+        .select(*columns_of(df))
     )
     return df.where(~gate).unionByName(changed)
 
