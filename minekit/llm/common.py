@@ -61,14 +61,20 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+#: Rows that Spark hands to a Python worker at a time, instead of its default: whole texts are large.
+BATCH_ROWS = 1000
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 _shipped: set[str] = set()
 
 
 def importable(spark: SparkSession) -> None:
     """Let the Python workers of this session import the package, wherever they run; once a session.
 
-    Spark hands the archive to every executor, also to those that start later.
+    Spark hands the archive to every executor, also to those that start later. The session's batch size
+    becomes ``BATCH_ROWS`` unless it has one of its own.
     """
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
