@@ -146,6 +146,43 @@ def oracle_sql() -> dict[str, str]:
               GROUP BY 1, 2)
             WHERE n <> 1 AND n * 5 > n_a * 4""",
         ),
+        **dict.fromkeys(("rule_confidence_bits", "rule_confidence_prefix"), _q(
+            _LIKED_BRAND,
+            _FREQ,
+            select="""
+            SELECT item_a, item_b, n, n_a, CAST(n AS DOUBLE) / n_a AS confidence FROM (
+              SELECT x.item AS item_a, y.item AS item_b, count(*) AS n, min(f.n) AS n_a
+              FROM liked x JOIN liked y ON x."user" = y."user" AND x.item <> y.item
+              JOIN freq f ON f.item = x.item
+              GROUP BY 1, 2)
+            WHERE n >= 2 AND n * 5 > n_a * 4""",
+        )),
+        "confidence_candidates": _q(
+            _LIKED,
+            _FREQ,
+            _PAIRS,
+            select="""
+            SELECT (SELECT count(*) FROM (
+                      SELECT DISTINCT p.item, y.item FROM (
+                        SELECT x."user", x.item, f.n,
+                               row_number() OVER (PARTITION BY x.item ORDER BY s.size, x."user") AS r
+                        FROM liked x JOIN freq f ON f.item = x.item
+                        JOIN (SELECT "user", count(*) AS size FROM liked GROUP BY 1) s ON s."user" = x."user") p
+                      JOIN liked y ON y."user" = p."user" AND y.item <> p.item
+                      JOIN freq g ON g.item = y.item
+                      WHERE p.r <= p.n // 5 + 1 AND 5 * g.n >= 4 * p.n)) AS n_candidates,
+                   2 * (SELECT count(*) FROM pairs) AS n_pairs""",
+        ),
+        "pair_counts_bits": _q(_LIKED, _PAIRS, select="SELECT * FROM pairs"),
+        "brand_pairs_bits": _q(_LIKED_BRAND, _PAIRS, select="SELECT * FROM pairs"),
+        "stripes_in_batches": _q(
+            _LIKED,
+            _PAIRS,
+            select="""
+            SELECT item_a, CAST(0 AS BIGINT) AS part,
+                   string_agg(item_b || ':' || n, ',' ORDER BY item_b) AS stripe
+            FROM pairs GROUP BY item_a""",
+        ),
         "rule_confidence_one_way": _q(
             _LIKED_BRAND,
             _FREQ,
@@ -194,6 +231,16 @@ def oracle_sql() -> dict[str, str]:
               SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value NULLS FIRST) AS "rank"
               FROM counted) WHERE "rank" <= 5""",
         ),
+        "heavy_hitters": _q(
+            _GAPPY,
+            _CELLS,
+            select="""
+            SELECT * FROM (
+              SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value NULLS FIRST) AS "rank"
+              FROM (SELECT * FROM counted
+                    UNION ALL SELECT 'event_id', CAST(event_id AS VARCHAR), count(*) FROM gappy GROUP BY 2))
+            WHERE "rank" <= 5""",
+        ),
         "column_modes": _q(_GAPPY, _CELLS, _MODES, select="SELECT * FROM modes"),
         "impute_mode": _q(
             _GAPPY,
@@ -345,6 +392,25 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT p_partkey AS "ParcelId", p AS "201610", p AS "201611", p AS "201612",
                    p AS "201710", p AS "201711", p AS "201712" FROM scored""",
+        "ids_from_dictionary": """
+            WITH first AS (
+              SELECT o_custkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS customer
+              FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 1)
+            ),
+            second AS (
+              SELECT o_custkey, dense_rank() OVER (ORDER BY o_custkey) - 1 + (SELECT count(*) FROM first) AS customer
+              FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 0)
+              WHERE o_custkey NOT IN (SELECT o_custkey FROM first)
+            )
+            SELECT o_orderkey, customer
+            FROM orders JOIN (SELECT * FROM first UNION ALL SELECT * FROM second) USING (o_custkey)""",
+        "segment_planes": f"""
+            WITH bins AS (SELECT DISTINCT CAST({_BIN} AS BIGINT) AS duration_bin FROM lineitem)
+            SELECT duration_bin, 'l_quantity' AS term, CAST(duration_bin AS DOUBLE) AS coefficient,
+                   CAST(0 AS DOUBLE) AS reg FROM bins
+            UNION ALL SELECT duration_bin, 'l_discount', CAST(-250 AS DOUBLE), CAST(0 AS DOUBLE) FROM bins
+            UNION ALL SELECT duration_bin, 'l_tax', CAST(100 * duration_bin AS DOUBLE), CAST(0 AS DOUBLE) FROM bins
+            UNION ALL SELECT duration_bin, 'intercept', CAST(7 * duration_bin AS DOUBLE), CAST(0 AS DOUBLE) FROM bins""",
         "dense_keys": """
             SELECT o_orderkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS customer FROM orders""",
         "dt_classify": f"""

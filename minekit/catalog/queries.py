@@ -9,7 +9,22 @@ from pyspark.sql import functions as F
 
 from minekit.catalog import tables as t
 from minekit.functions import duration_bin
-from minekit.operators import basket, metrics, models, prep, ranking, recommend, text, topics
+from minekit.operators import (
+    basket,
+    bitmaps,
+    containment,
+    dictionary,
+    heavy,
+    metrics,
+    models,
+    moments,
+    prep,
+    ranking,
+    recommend,
+    stripe_store,
+    text,
+    topics,
+)
 from minekit.operators.scale import checkpointed, scratch_path
 from minekit.sources import (
     read_csv,
@@ -103,6 +118,48 @@ def rule_lift_named(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def rule_confidence_bits(spark: SparkSession, sf: str) -> DataFrame:
+    return bitmaps.rules_confidence(_liked_brands(spark, sf))
+
+
+def rule_confidence_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return containment.rules_confidence(_liked_brands(spark, sf))
+
+
+def confidence_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """How few pairs of parts the prefixes open, of all that occur together."""
+    liked = _liked_parts(spark, sf)
+    few = containment.candidates(liked, 0.8, 1).agg(F.count(F.lit(1)).alias("n_candidates"))
+    together = basket.pair_counts(liked).agg((F.count(F.lit(1)) * 2).alias("n_pairs"))
+    return few.withColumn("n_pairs", together.scalar())
+
+
+def pair_counts_bits(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of parts, of which those with at least a five-hundredth of the customers are counted by bits."""
+    return bitmaps.pair_counts(_liked_parts(spark, sf), share=500)
+
+
+def brand_pairs_bits(spark: SparkSession, sf: str) -> DataFrame:
+    return bitmaps.pair_counts(_liked_brands(spark, sf))
+
+
+def stripes_in_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Stripes of a store that got the odd orders, then the even ones, then some of both again."""
+    path = scratch_path(spark, "stripes")
+    stripe_store.create(spark, path)
+    lines = t.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    orders = t.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    rated = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    batches = ("l_orderkey % 2 = 1", "l_orderkey % 2 = 0", "l_orderkey % 5 = 0")
+    for number, chosen in enumerate(batches, 1):
+        batch = basket.liked_items(rated.where(chosen), "o_custkey", "l_partkey", "l_quantity", t.LIKED_QUANTITY)
+        stripe_store.add(spark, path, number, batch)
+    cells = F.transform(
+        F.map_entries("stripe"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))
+    )
+    return stripe_store.item_stripes(spark, path).select("item_a", "part", F.array_join(cells, ",").alias("stripe"))
+
+
 # --- preparation ---------------------------------------------------------------------------
 
 
@@ -110,6 +167,11 @@ def value_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return prep.value_frequency(t.gappy_events(spark, sf), ["kind", "k", "grp"], 5)
 
 
+def heavy_hitters(spark: SparkSession, sf: str) -> DataFrame:
+    """Skewed columns, and one in which every value is its own."""
+    return heavy.heavy_hitters(t.gappy_events(spark, sf), ["kind", "k", "grp", "event_id"], 5)
+
+
 def column_modes(spark: SparkSession, sf: str) -> DataFrame:
     return prep.column_modes(t.gappy_events(spark, sf), ["kind", "k", "grp"])
 
@@ -488,20 +550,33 @@ def model_report_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def segment_models(spark: SparkSession, sf: str) -> DataFrame:
-    """Classify, route, then one searched regression per predicted class."""
+    """Classify, route, then one searched regression per predicted class, all from one aggregate."""
     trips = t.trips(spark, sf)
     tree = models.fit_supervised(trips, "dt_class", TRIP_FEATURES, "duration_bin", TRIP_KEYS)
-    routed = checkpointed(models.score(tree.model, trips))
-    classes = [r[0] for r in routed.select("prediction").distinct().collect()]  # at most six
-    found = models.fit_per_segment(
-        routed, "prediction", sorted(classes), "linear", TRIP_FEATURES, "amount", TRIP_KEYS
+    routed = checkpointed(models.score(tree.model, trips).withColumnRenamed("prediction", "class"))
+    settings = [(reg, 0.0) for reg in models.GRIDS["linear"]["regParam"]]
+    _, found = moments.search(routed, "class", TRIP_FEATURES, "amount", TRIP_KEYS, settings)
+    error = F.col("prediction") - F.col("amount")
+    errors = (
+        moments.scored(routed, "class", found, TRIP_FEATURES)
+        .groupBy(F.concat(F.lit("class-"), F.col("class").cast("int")).alias("model"))
+        .agg(F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae"))
+        .withColumn("rmse", F.sqrt("mse"))
+    )
+    named = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("rmse", "mse", "mae")]
+    return errors.select("model", F.inline(F.array(*named)))
+
+
+def segment_planes(spark: SparkSession, sf: str) -> DataFrame:
+    """A plane without noise for each class: with a penalty of 0 to choose, the search finds every coefficient."""
+    trips = t.trips(spark, sf)
+    k = F.col("duration_bin")
+    plane = k * F.col("l_quantity") - 250 * F.col("l_discount") + 100 * k * F.col("l_tax") + 7 * k
+    features, settings = ["l_quantity", "l_discount", "l_tax"], [(1000.0, 0.0), (0.5, 0.5), (0.0, 0.0)]
+    _, found = moments.search(trips.withColumn("plane", plane), "duration_bin", features, "plane", TRIP_KEYS, settings)
+    return found.select(
+        F.col("group").cast("bigint").alias("duration_bin"), "term", F.round("coefficient", 4).alias("coefficient"), "reg"
     )
-    rows = []
-    for k, search in found.items():
-        scored = models.score(search.model, routed.where(F.col("prediction") == k).drop("prediction"))
-        for name, value in metrics.regression_metrics(scored, "amount").first().asDict().items():
-            rows.append((f"class-{int(k)}", name, value))
-    return metrics.metrics_table(spark, rows)
 
 
 def _ratings(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -555,6 +630,16 @@ def dense_keys(spark: SparkSession, sf: str) -> DataFrame:
     return indexed.select("o_orderkey", F.col("o_custkey").cast("bigint").alias("customer"))
 
 
+def ids_from_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with dense customer numbers that the odd orders gave first and the even ones went on from."""
+    path = scratch_path(spark, "dictionary")
+    dictionary.create(spark, path)
+    orders = t.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    for batch, chosen in enumerate(("o_orderkey % 2 = 1", "o_orderkey % 2 = 0"), 1):
+        dictionary.extend(spark, path, orders.where(chosen), "o_custkey", batch)
+    return dictionary.encoded(orders, path, "o_custkey").select("o_orderkey", F.col("o_custkey").alias("customer"))
+
+
 def als_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Search on 80 %; setting, sizes, and RMSE, MSE and MAP on the other 20 %."""
     ratings, _ = _ratings(spark, sf)
@@ -585,10 +670,17 @@ def queries() -> dict[str, Query]:
         "item_frequency": lambda s, d: basket.item_frequency(_liked_parts(s, d)),
         "rule_confidence": lambda s, d: basket.rules_confidence(_liked_brands(s, d)),
         "rule_confidence_one_way": rule_confidence_one_way,
+        "rule_confidence_bits": rule_confidence_bits,
+        "rule_confidence_prefix": rule_confidence_prefix,
+        "confidence_candidates": confidence_candidates,
+        "pair_counts_bits": pair_counts_bits,
+        "brand_pairs_bits": brand_pairs_bits,
+        "stripes_in_batches": stripes_in_batches,
         "rule_lift": rule_lift,
         "rule_lift_baskets": rule_lift_baskets,
         "rule_lift_named": rule_lift_named,
         "value_frequency": value_frequency,
+        "heavy_hitters": heavy_hitters,
         "column_modes": column_modes,
         "impute_mode": impute_mode,
         "impute_constant": impute_constant,
@@ -633,10 +725,12 @@ def queries() -> dict[str, Query]:
         "model_report": model_report,
         "model_report_check": model_report_check,
         "segment_models": segment_models,
+        "segment_planes": segment_planes,
         "als_recommend": als_recommend,
         "als_recommend_check": als_recommend_check,
         "als_recommend_user": als_recommend_user,
         "dense_keys": dense_keys,
+        "ids_from_dictionary": ids_from_dictionary,
         "als_search": als_search,
         "als_search_check": als_search_check,
         "als_metrics": als_metrics,

@@ -80,9 +80,21 @@ def pair_frequencies(liked: DataFrame, min_pairs: int = 1, block: int = BASKET_B
     return _counted(liked, min_pairs, block, frequencies=True)
 
 
-def _counted(liked: DataFrame, min_pairs: int, block: int, frequencies: bool) -> DataFrame:
+def pair_counts_apart(
+    rows: DataFrame, known: str, min_pairs: int = 1, block: int = BASKET_BLOCK, frequencies: bool = False
+) -> DataFrame:
+    """Pair counts of ``(user, item, known)`` without the pairs whose rows are both ``known``.
+
+    For pairs that are counted by other means: those of dense items, or of rows seen before.
+    """
+    return _counted(rows, min_pairs, block, frequencies, known)
+
+
+def _counted(
+    liked: DataFrame, min_pairs: int, block: int, frequencies: bool, known: str | None = None
+) -> DataFrame:
     # no cost for `liked_items`, whose rows are distinct: the optimiser drops the second aggregate
-    rows = liked.select("user", "item").distinct()
+    rows = liked.select("user", "item", *([known] if known else [])).distinct()
     large = large_groups(rows, "user", block)
     held = F.lit(0).cast("bigint")
     if min_pairs > 1:
@@ -100,7 +112,7 @@ def _counted(liked: DataFrame, min_pairs: int, block: int, frequencies: bool) ->
         rows = rows.join(rows.groupBy("item").agg(F.count(F.lit(1)).alias("freq")), "item").withColumn("held", held)
     else:
         rows = rows.withColumn("held", held)
-    carried = ["held", "freq"] if frequencies else ["held"]
+    carried = (["held", "freq"] if frequencies else ["held"]) + ([known] if known else [])
     rows = rows.select("user", "item", *carried)
     every_block = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
     cells = (
@@ -125,6 +137,8 @@ def _counted(liked: DataFrame, min_pairs: int, block: int, frequencies: bool) ->
     once = F.when(F.col("x.lo") == F.col("x.hi"), F.col("x.item") < F.col("y.item")).otherwise(
         F.col("x.part") < F.col("y.part")
     )
+    if known:
+        once = once & ~(F.col(f"x.{known}") & F.col(f"y.{known}"))
     met = x.join(y, [*same_cell, once])
     pair = [
         F.least("x.item", "y.item").alias("item_a"),
@@ -230,7 +244,11 @@ def rules_confidence(
 
     ``directed`` evaluates both orientations of every pair; otherwise only ``item_a < item_b``.
     """
-    pairs = pair_frequencies(liked, min_pairs, block)
+    return by_confidence(pair_frequencies(liked, min_pairs, block), min_conf, directed)
+
+
+def by_confidence(pairs: DataFrame, min_conf: float = 0.8, directed: bool = True) -> DataFrame:
+    """Rules above ``min_conf`` from pairs with ``n``, ``freq_a`` and ``freq_b``, most frequent first."""
     ways = [F.struct("item_a", "item_b", "n", F.col("freq_a").alias("n_a"))]
     if directed:
         back = (F.col("item_b").alias("item_a"), F.col("item_a").alias("item_b"), "n", F.col("freq_b").alias("n_a"))
