@@ -24,8 +24,6 @@ ORDER = 3
 MAX_TRAIN = 400
 #: Groups of input partitions in which ids are ranked before they are ranked together; no change of the result.
 RANK_PARTS = 64
-#: Contexts of full order that occur less often in all languages together are left out.
-LEAST_CONTEXT = 2
 UNKNOWN = "und"
 #: A text is none of the learned languages if it needs more than FAR times the bits per byte that the median
 #: held-out text of its language needs, and SLACK bits, which a few unknown words cost.
@@ -107,9 +105,7 @@ def build(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Trees | None:
     every = np.unique(np.concatenate([codes for codes, _ in grams.values()]))
     contexts2 = np.unique(every >> np.uint32(8) & np.uint32(0xFFFF))
     together = np.concatenate([codes >> np.uint32(8) for codes, _ in grams.values()])
-    contexts3, at = np.unique(together, return_inverse=True)
-    often = np.bincount(at, np.concatenate([counts for _, counts in grams.values()])) >= LEAST_CONTEXT
-    contexts3 = contexts3[often]
+    contexts3 = np.unique(together)
     m2 = np.zeros(65536, np.int64)
     # contexts of three bytes are found through their first two, so these are numbered as well
     pairs = np.union1d(contexts2, contexts3 >> np.uint32(8))
@@ -117,15 +113,14 @@ def build(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Trees | None:
     c2 = np.empty(((len(pairs) + 1) * 256, n), np.float32)
     m3 = np.zeros((len(pairs) + 1) * 256, np.int32)
     m3[m2[contexts3 >> np.uint32(8)] * 256 + (contexts3 & np.uint32(0xFF))] = np.arange(1, len(contexts3) + 1)
-    kept = every[np.isin(every >> np.uint32(8), contexts3)]
 
     def numbered(codes: np.ndarray) -> np.ndarray:
         context = codes >> np.uint32(8)
         return m3[m2[context >> np.uint32(8)] * 256 + (context & np.uint32(0xFF))].astype(np.int64)
 
     m4 = np.zeros((len(contexts3) + 1) * 256, np.int32)
-    m4[numbered(kept) * 256 + (kept & np.uint32(0xFF))] = np.arange(1, len(kept) + 1)
-    c4 = np.zeros((len(kept) + 1, n), np.float32)
+    m4[numbered(every) * 256 + (every & np.uint32(0xFF))] = np.arange(1, len(every) + 1)
+    c4 = np.zeros((len(every) + 1, n), np.float32)
     e3 = np.zeros((len(contexts3) + 1, n), np.float32)
     for k, language in enumerate(languages):
         codes, counts = grams[language]
@@ -156,8 +151,8 @@ def build(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Trees | None:
         number = m3[m2[known >> np.uint32(8)] * 256 + (known & np.uint32(0xFF))]
         e3[number[number > 0], k] = escape[number > 0]
         # grams of other languages: escape, then the shorter context
-        low = m2[kept >> np.uint32(8) & np.uint32(0xFFFF)]
-        c4[1:, k] = e3[numbered(kept), k] + two[low * 256 + (kept & np.uint32(0xFF))]
+        low = m2[every >> np.uint32(8) & np.uint32(0xFFFF)]
+        c4[1:, k] = e3[numbered(every), k] + two[low * 256 + (every & np.uint32(0xFF))]
         place = m4[numbered(codes) * 256 + (codes & np.uint32(0xFF))]
         c4[place[place > 0], k] = cost[place > 0]
     return Trees(languages, c1, m2, c2, m3, m4, c4, e3)

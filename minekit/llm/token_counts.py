@@ -50,7 +50,9 @@ def count_tokens(
 
     def known() -> DataFrame:
         cache = spark.read.schema(CACHE).parquet(cache_path)
-        return cache.where(F.col("tokenizer") == version).select("digest", "n_tokens")
+        # two jobs that ran at once may both have appended a digest, with the same count
+        counts = cache.where(F.col("tokenizer") == version).groupBy("digest")
+        return counts.agg(F.max("n_tokens").alias("n_tokens"))
 
     # copies are combined before the shuffle; the second step reuses its partitioning
     texts = keyed.groupBy("digest").agg(F.first("text").alias("text"))

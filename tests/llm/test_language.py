@@ -42,7 +42,6 @@ def grams(texts):
 
 
 def test_code_lengths_equal_brute_force(monkeypatch):
-    monkeypatch.setattr(language, "LEAST_CONTEXT", 1)
     train = {"aa": ["the cat sat on the mat", "that hat"], "bb": ["été à la plage", "les chats de la plage"], "cc": ["xyzzy"]}
     trees = language.build({k: grams(v) for k, v in train.items()})
     assert trees.languages == ["aa", "bb", "cc"]

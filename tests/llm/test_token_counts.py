@@ -43,6 +43,16 @@ def test_second_run_encodes_only_new_texts(spark, docs, tmp_path):
     assert spark.read.parquet(other).count() == 2 * n + 1
 
 
+def test_a_digest_that_two_jobs_appended(spark, docs, tmp_path):
+    cache = str(tmp_path / "c")
+    first = token_counts.count_tokens(docs, cache)
+    want = fixtures.pairs(first, *first.columns)
+    spark.read.parquet(cache).write.parquet(str(tmp_path / "same"))
+    spark.read.parquet(str(tmp_path / "same")).write.mode("append").parquet(cache)
+    again = token_counts.count_tokens(docs, cache)
+    assert fixtures.pairs(again, *again.columns) == want
+
+
 def test_empty_table(no_docs, tmp_path):
     assert token_counts.count_tokens(no_docs, str(tmp_path / "c")).collect() == []
 
