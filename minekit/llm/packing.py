@@ -70,9 +70,10 @@ def pieces(
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
     """Best fit over counts, longest first: ``(length, first rank, first sequence, offset)``.
 
-    Sequences that are filled alike are held as ranges of numbers. Of the sequences with room the
-    fullest take the next pieces; if they are more than the pieces left, their range is split. A
-    stretch ends where the next of the same length begins; along it rank and sequence grow together.
+    Sequences that are filled alike are held as ranges of numbers. The fullest sequence with room takes
+    pieces until none fits any more, as it stays the fullest; so each sequence of a range takes as many
+    as fit, and the last one what is left. A stretch ends where the next of the same length begins;
+    along it rank and sequence grow together.
     """
     room: dict[int, list[tuple[int, int]]] = {}  # free places -> ranges (first sequence, how many)
     used, out = 0, []
@@ -85,18 +86,26 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
                 first, many = room[free].pop()
                 if not room[free]:
                     del room[free]
-                if many > left:
-                    room.setdefault(free, []).append((first + left, many - left))
-                    many = left
             else:
-                # as many new sequences as pieces, divided by how many fit into each
                 free, first = capacity, used
                 many = -(-left // (capacity // length))
                 used += many
-            out.append((length, rank, first, capacity - free))
-            if free > length:
-                room.setdefault(free - length, []).append((first, many))
-            rank, left = rank + many, left - many
+            per = free // length
+            full = min(many, left // per)
+            rest = left - full * per if full < many else 0
+            # (first sequence, how many sequences, pieces in each)
+            for start, wide, deep in ((first, full, per), (first + full, 1, rest)):
+                if not wide or not deep:
+                    continue
+                for i in range(deep):
+                    out.append((length, rank, start, capacity - free + i * length))
+                    rank += wide
+                if free > deep * length:
+                    room.setdefault(free - deep * length, []).append((start, wide))
+                left -= wide * deep
+            touched = full + (rest > 0)
+            if touched < many:
+                room.setdefault(free, []).append((first + touched, many - touched))
     return out
 
 
@@ -120,7 +129,7 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     offset = np.array([o for *_, o in stretches], np.int64)
     order = [F.col("length").desc(), F.col("doc_id").asc_nulls_last(), F.col("piece"), F.col("_row")]
     numbered = number_rows(kept, order, "_rank")
-    # bounded: a stretch per length and filling, both at most the capacity
+    # bounded by the capacity alone, whatever the corpus: lengths, fillings and pieces of a sequence
     shared = spark.sparkContext.broadcast((first, sequence, offset))
 
     @F.pandas_udf("struct<sequence_id:bigint,offset:bigint>")
