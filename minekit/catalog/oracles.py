@@ -98,6 +98,19 @@ def _q(*ctes: str, select: str) -> str:
     return "WITH " + ",".join(dedent(c) for c in ctes) + "\n" + dedent(select)
 
 
+_TASTES = """
+    WITH products AS (
+      SELECT c_custkey AS "user", p_partkey AS item,
+             CAST(p_size * ((c_nationkey - 12) * (p_partkey % 11 - 5)
+                            + CAST(floor(c_acctbal / 1000) AS BIGINT) * (CAST(floor(p_retailprice) AS BIGINT) % 13 - 6)
+                            + (c_custkey % 7 - 3) * (p_partkey % 17 - 8)) AS DOUBLE) AS score
+      FROM customer, part
+    ),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) AS rank FROM products
+    )"""
+
+
 def oracle_sql() -> dict[str, str]:
     split = _HASH.format("o_orderkey")
     return {
@@ -443,6 +456,22 @@ def oracle_sql() -> dict[str, str]:
         "als_recommend_check": """
             SELECT DISTINCT o_custkey AS "user", CAST(5 AS BIGINT) AS n_items, '1,2,3,4,5' AS ranks, true AS ordered
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+        "als_bounded_check": """
+            SELECT DISTINCT o_custkey AS "user", CAST(5 AS BIGINT) AS n_items, true AS agrees
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+        "top_items": f"""{_TASTES} SELECT "user", rank, item, score FROM ranked WHERE rank <= 5""",
+        "top_items_one_user": f"""{_TASTES}
+            SELECT "user", rank, item, score, CASE WHEN item % 3 <> 0 THEN p_name ELSE 'Empty' END AS title
+            FROM ranked JOIN part ON item = p_partkey WHERE "user" = 0 AND rank <= 10""",
+        "top_items_work": """
+            SELECT (SELECT count(*) FROM customer) * (SELECT count(*) FROM part) AS n_pairs, true AS below_half""",
+        "trees_as_tables": " UNION ALL ".join(
+            f"""SELECT '{kind}' AS kind, CAST({_BIN} AS DOUBLE) * 100 AS level,
+                       CAST({_BIN} AS DOUBLE) * 100 AS prediction, count(*) AS n, CAST(0 AS BIGINT) AS n_differ
+                FROM lineitem GROUP BY 1, 2, 3"""
+            for kind in ("dt", "rf", "gbt")
+        ),
+        "dedup_by_digest": _q(_DOCS, select="SELECT id, value FROM docs"),
         "doc_vectors": _q(
             _DOCS,
             _WORDS,

@@ -14,18 +14,21 @@ from minekit.operators import (
     bitmaps,
     containment,
     dictionary,
+    digests,
     heavy,
     metrics,
     models,
     moments,
     prep,
+    products,
     ranking,
     recommend,
     stripe_store,
     text,
     topics,
+    trees,
 )
-from minekit.operators.scale import checkpointed, scratch_path
+from minekit.operators.scale import checkpointed, dealt, scratch_path
 from minekit.sources import (
     read_csv,
     read_headerless,
@@ -337,7 +340,7 @@ def doc_term_counts(spark: SparkSession, sf: str) -> DataFrame:
 def _topic_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = _texts(spark, sf)
     counts, vocab = text.bag_of_words(text.tokens(docs))
-    vectors = checkpointed(text.doc_term_vectors(counts, vocab), every_core=True)
+    vectors = checkpointed(dealt(text.doc_term_vectors(counts, vocab), ["id"]))
     return docs, vocab, vectors
 
 
@@ -623,6 +626,80 @@ def als_recommend_user(spark: SparkSession, sf: str) -> DataFrame:
     return recommend.recommend(model, t.part_titles(spark, sf), asked, keys=keys)
 
 
+def als_bounded_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Per user: the five items by length bounds have the scores of the five from scoring all items."""
+    ratings, keys = _ratings(spark, sf)
+    model, titles = recommend.als_fit(ratings), t.part_titles(spark, sf)
+    bounded, _ = recommend.recommend_bounded(model, titles, keys=keys)
+    full = recommend.recommend(model, titles, keys=keys).select("user", "rank", F.col("rating").alias("full"))
+    return (
+        bounded.join(full, ["user", "rank"], "full")
+        .groupBy(F.col("user").cast("bigint").alias("user"))
+        .agg(
+            F.countDistinct("item").alias("n_items"),
+            F.coalesce(F.min(F.abs(F.col("rating") - F.col("full")) < 1e-4), F.lit(False)).alias("agrees"),
+        )
+    )
+
+
+def _tastes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Customers and parts as short vectors of whole numbers, so that every product is exact."""
+    customers = t.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user"),
+        F.array(F.col("c_nationkey") - 12, F.floor(F.col("c_acctbal") / 1000), F.col("c_custkey") % 7 - 3).alias("vector"),
+    )
+    size, key = F.col("p_size"), F.col("p_partkey")
+    parts = t.table(spark, sf, "part").select(
+        key.alias("item"),
+        F.array(size * (key % 11 - 5), size * (F.floor("p_retailprice") % 13 - 6), size * (key % 17 - 8)).alias("vector"),
+    )
+    return customers, parts
+
+
+def top_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The five parts that suit each customer best."""
+    return products.top_products(*_tastes(spark, sf))[0]
+
+
+def top_items_one_user(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of customer 0; titles are known of parts not divisible by 3 only."""
+    customers, parts = _tastes(spark, sf)
+    top, _ = products.top_products(customers.where("user = 0"), parts, n=10)
+    return basket.with_titles(top, ["item"], t.part_titles(spark, sf).where("item % 3 <> 0"), "Empty")
+
+
+def top_items_work(spark: SparkSession, sf: str) -> DataFrame:
+    """All products there are, and whether the bounds made do with less than half of them."""
+    customers, parts = _tastes(spark, sf)
+    _, work = products.top_products(customers, parts, chunk=16)
+    total = customers.agg(F.count("user").alias("n_users")).join(parts.agg(F.count("item").alias("n_items")))
+    return total.join(work.agg(F.sum("n_products").alias("done"))).select(
+        (F.col("n_users") * F.col("n_items")).alias("n_pairs"),
+        (F.col("done") * 2 < F.col("n_users") * F.col("n_items")).alias("below_half"),
+    )
+
+
+def trees_as_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree, a forest and a boosted model scored from their tables, and the rows where pyspark.ml differs."""
+    trips = dealt(_levels(spark, sf), TRIP_KEYS)
+    fits = {"dt": {}, "rf": {"featureSubsetStrategy": "all"}, "gbt": {"maxIter": 3}}
+    out = None
+    for kind, params in fits.items():
+        model = models.fit_all(trips, kind, TRIP_FEATURES, "level", maxBins=QUANTITY_BINS, **params)
+        table = trees.tree_table(spark, model)
+        both = trees.score(table, models.score(model, trips), TRIP_FEATURES, "stored")
+        steps = both.groupBy(F.lit(kind).alias("kind"), "level", F.round("stored", 3).alias("prediction")).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.abs(F.col("stored") - F.col("prediction")) > 1e-9).alias("n_differ"),
+        )
+        out = steps if out is None else out.unionByName(steps)
+    return out
+
+
+def dedup_by_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return digests.distinct_texts(t.english(spark, sf).where("lang = 'en'"), "text", "doc_id")
+
+
 def dense_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with the customer id replaced by a dense number."""
     orders = t.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
@@ -729,6 +806,12 @@ def queries() -> dict[str, Query]:
         "als_recommend": als_recommend,
         "als_recommend_check": als_recommend_check,
         "als_recommend_user": als_recommend_user,
+        "als_bounded_check": als_bounded_check,
+        "top_items": top_items,
+        "top_items_one_user": top_items_one_user,
+        "top_items_work": top_items_work,
+        "trees_as_tables": trees_as_tables,
+        "dedup_by_digest": dedup_by_digest,
         "dense_keys": dense_keys,
         "ids_from_dictionary": ids_from_dictionary,
         "als_search": als_search,

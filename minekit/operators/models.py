@@ -44,6 +44,9 @@ GRIDS: dict[str, dict[str, list]] = {
 FOLDS = {"dt_class": 10, "linear": 10, "dt": 5, "rf": 5, "gbt": 5}
 
 
+DEAL = "_deal"  # beginning of the names of columns that decide in which part a row is
+
+
 class Search(NamedTuple):
     """Outcome of a grid search: the refitted best model and one row per (setting, fold)."""
 
@@ -71,6 +74,11 @@ def expand_grid(estimator: Estimator, grid: Mapping[str, Sequence]) -> list[dict
     return builder.build()
 
 
+def dealt_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``columns`` of ``df`` and its keys once more, under names that no feature has."""
+    return df.select(*columns, *[F.col(k).alias(f"{DEAL}{i}") for i, k in enumerate(keys)])
+
+
 def search_settings(
     data: DataFrame,
     estimator: Estimator,
@@ -80,15 +88,16 @@ def search_settings(
     folds: int,
     parallelism: int = 4,
 ) -> Search:
-    """Every setting on every fold of ``data`` (which has a ``fold`` column), mean metric, refit.
+    """Every setting on every fold of ``data``, mean metric, refit.
 
-    The input is persisted once, in enough partitions, and each fold is a filter on it. Fits run concurrently so that
+    ``data`` has a ``fold`` column and columns ``_deal...`` that identify a row. The input is
+    persisted once, dealt by them, and each fold is a filter on it. Fits run concurrently so that
     small stages of one fit do not leave the cluster idle. The earlier setting wins ties.
     """
     spark = data.sparkSession
     checkpoint_root(spark)
     larger_is_better = metric == "accuracy"
-    data = spread(data)
+    data = spread(data, [c for c in data.columns if c.startswith(DEAL)])
     try:
 
         @inheritable_thread_target(spark)
@@ -145,7 +154,7 @@ def fit_supervised(
     settings = expand_grid(pipeline.getStages()[-1], grid if grid is not None else GRIDS[kind])
     k = folds or FOLDS[kind]
     columns = list(dict.fromkeys([*features, label]))
-    data = with_fold(train, keys, k).select(*columns, "fold")
+    data = dealt_by(with_fold(train, keys, k), keys, [*columns, "fold"])
     metric = "accuracy" if kind == "dt_class" else "rmse"
     return search_settings(data, pipeline, settings, label, metric, k, parallelism)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,18 +27,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame, every_core: bool = False) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy.
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
+
 
-    ``every_core`` is for inputs of iterative fits: a copy in fewer partitions than there are
-    cores, hence a small one, is dealt out over all of them.
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` in ``spark.sql.shuffle.partitions`` parts by a hash of ``keys``, sorted within them.
+
+    For inputs of iterative fits, which depend on the placement of rows. Neither the number of cores
+    nor the layout of the input files has a say in it, at any size; ``keys`` identify a row, so no
+    part gets hot.
     """
-    checkpoint_root(df.sparkSession)
-    written = df.checkpoint()
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if every_core and written.rdd.getNumPartitions() < wanted:
-        return written.repartition(wanted).checkpoint()
-    return written
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys)
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -91,21 +95,15 @@ def list_parts(df: DataFrame, key: str, value: str, max_rows: int, entry: Column
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Persist a table that many passes will read, in enough partitions to occupy every core.
+def spread(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Persist a table that many passes will read, dealt by ``keys``, which are not kept.
 
-    A table already split finely is only persisted; a small or badly split one is dealt out again,
-    so that iterative fits do not run in a single task.
+    Without ``keys`` rows are dealt by all columns, which are kept; equal rows then share a part.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    rest = [c for c in df.columns if c not in keys]
+    kept = dealt(df, keys or df.columns).select(*rest).persist(StorageLevel.MEMORY_AND_DISK)
     kept.count()
-    if kept.rdd.getNumPartitions() >= wanted:
-        return kept
-    dealt = kept.repartition(wanted).persist(StorageLevel.MEMORY_AND_DISK)
-    dealt.count()
-    kept.unpersist()
-    return dealt
+    return kept
 
 
 def number_rows(df: DataFrame, order: list[Column | str], name: str = "idx") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from minekit.operators import text, topics
-from minekit.operators.scale import checkpointed
+from minekit.operators.scale import checkpointed, dealt
 from minekit.sources import read_csv, write_csv
 from minekit.sources.schemas import DOCUMENTS, POSTS
 
@@ -25,7 +25,7 @@ def model(spark: SparkSession, docs_path: str, out_dir: str, k: int = 5, iterati
     docs = spark.read.schema(DOCUMENTS).parquet(docs_path)
     tok = text.tokens(docs)
     counts, vocab = text.bag_of_words(tok)
-    vectors = checkpointed(text.doc_term_vectors(counts, vocab), every_core=True)
+    vectors = checkpointed(dealt(text.doc_term_vectors(counts, vocab), ["id"]))
     lda = topics.fit_lda(vectors, k, iterations)
     terms = topics.topic_terms(lda, vocab).orderBy("topic", "rank")
     best = topics.top_documents(lda, vectors, docs).orderBy("topic", "rank")
