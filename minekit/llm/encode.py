@@ -43,8 +43,8 @@ def _tokenizer(path: str):
 class _Memo:
     """What ``of(ids)`` gives for every segment; segments are filled in batches."""
 
-    def __init__(self, path: str, of, total):
-        self.path, self.of, self.total = path, of, total
+    def __init__(self, path: str, of, total, most: int = MEMO_WORDS):
+        self.path, self.of, self.total, self.most = path, of, total, most
         self.pieces: dict = {}
 
     def whole(self, text: str):
@@ -57,7 +57,7 @@ class _Memo:
         if new:
             got = _tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False)
             fresh = {p: self.of(e.ids) for p, e in zip(new, got)}
-            if len(self.pieces) + len(fresh) <= MEMO_WORDS:
+            if len(self.pieces) + len(fresh) <= self.most:
                 self.pieces.update(fresh)
         at = lambda p: fresh[p] if p in fresh else self.pieces[p]
         return [self.total(map(at, pieces)) for pieces in cut]
@@ -96,8 +96,8 @@ class TokenCounter:
 class WordEncoder:
     """Ids under a word-level vocabulary that drops blanks, as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str):
-        self.memo = _Memo(path, lambda ids: np.asarray(ids, "<u4").tobytes(), b"".join)
+    def __init__(self, path: str, most: int = MEMO_WORDS):
+        self.memo = _Memo(path, lambda ids: np.asarray(ids, "<u4").tobytes(), b"".join, most)
         self.words: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
@@ -108,7 +108,7 @@ class WordEncoder:
         if None in got:
             new = list({w for w, x in zip(words, got) if x is None})
             fresh = dict(zip(new, self.memo.values(new)))
-            if len(self.words) + len(fresh) <= MEMO_WORDS:
+            if len(self.words) + len(fresh) <= self.memo.most:
                 self.words.update(fresh)
             got = [fresh[w] if x is None else x for w, x in zip(words, got)]
         return b"".join(got)
@@ -120,5 +120,5 @@ def token_counter(path: str) -> TokenCounter:
 
 
 @lru_cache(maxsize=4)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_encoder(path: str, most: int = MEMO_WORDS) -> WordEncoder:
+    return WordEncoder(path, most)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minekit.llm.common import importable, text_of, written
-from minekit.llm.encode import word_encoder
+from minekit.llm.encode import MEMO_WORDS, word_encoder
 from minekit.operators.scale import number_rows
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,19 +33,21 @@ def pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = True,
+    memo_words: int = MEMO_WORDS,
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32[, ids])`` of every row, ids as 32-bit bytes.
 
     A document is the ids of its whole text (a missing one is empty) and a closing separator, so every
     row has at least one piece. Longer documents are cut after every ``capacity`` ids. Repeated
-    rows and rows without an id have pieces of their own; other columns are not looked at.
+    rows and rows without an id have pieces of their own; other columns are not looked at. A worker
+    remembers at most ``memo_words`` encoded words, which changes time and memory, not results.
     """
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     end = np.asarray([SEPARATOR], "<u4").tobytes()
     width = 4 * capacity
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = word_encoder(path)
+        encoder = word_encoder(path, memo_words)
         for batch in batches:
             rows = []
             for at, text in enumerate(batch["text"]):
@@ -142,9 +144,15 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.withColumn("_slot", slot("_rank")).select(*pieces.columns, "_slot.*")
 
 
-def pack(df: DataFrame, capacity: int = CAPACITY, with_ids: bool = True, **columns: str) -> DataFrame:
+def pack(
+    df: DataFrame,
+    capacity: int = CAPACITY,
+    with_ids: bool = True,
+    memo_words: int = MEMO_WORDS,
+    **columns: str,
+) -> DataFrame:
     """Pieces of all documents with their places in sequences of ``capacity`` tokens.
 
     An empty table gives no pieces. Sequences are filled from offset 0 without gaps.
     """
-    return placed(pieces(df, capacity, with_ids=with_ids, **columns), capacity)
+    return placed(pieces(df, capacity, with_ids=with_ids, memo_words=memo_words, **columns), capacity)

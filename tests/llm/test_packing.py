@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from minekit.llm import packing
+from minekit.llm import encode, packing
 
 
 def brute_pieces(capacity):
@@ -75,3 +75,12 @@ def test_empty_table(no_docs):
 
 def test_a_sequence_is_filled_before_the_next_one_is_opened():
     assert packing.plan({4: 4}, 12) == [(4, 0, 0, 0), (4, 1, 0, 4), (4, 2, 0, 8), (4, 3, 1, 0)]
+
+
+def test_a_small_memo_changes_no_id():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoders = [encode.WordEncoder(path, most) for most in (0, 3, encode.MEMO_WORDS)]
+    for r in fixtures.rows():
+        first, *rest = [e.encode(r[1] or "") for e in encoders]
+        assert all(x == first for x in rest)
+    assert len(encoders[0].words) == 0 and len(encoders[1].words) <= 3
