@@ -3,8 +3,10 @@
 A text becomes its lower-case words joined by single blanks, so the rules need not care about
 case, punctuation or line ends. A rule is a regular expression with a keyword and a priority. Only
 texts with one of a few gate words are looked at, and of the rules only those whose keyword is in
-the text are run; all that a rule matches holds its keyword and passes the gate. Detections are resolved in the order of their places: one inside another is
-suppressed, of two that merely overlap the one of better priority stays.
+the text are run; all that a rule matches holds its keyword and passes the gate. Rules know the names and
+identifiers of licenses in the forms of notices, sentences of license texts and headers, and addresses.
+Detections are resolved in the order of their places: one inside another is suppressed, of two that merely
+overlap the one of better priority stays.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 # Parts of words; every rule and base phrase needs all parts of one line.
 GATE = (("licen",), ("spdx",), ("all", "rights", "reserved"), ("public", "domain"), ("creative",))
 GATE += (("cc", "by"), ("cc0",), ("gpl",), ("bsd",), ("gnu",), ("mit", "attribution"))
+GATE += (("hereby", "granted"), ("redistribution",), ("endorse", "promote"), ("advertising", "acknowledg"))
+GATE += (("held", "liable"), ("altered", "misrepresented"), ("unencumbered",), ("hope", "useful", "warranty"))
+GATE += (("copy", "mpl", "distributed"), ("disclaims", "warranties"), ("without", "merchantability"))
+GATE += (("permission", "portions"), ("mozilla",))
 
 # Label, keyword, identifier as words, names as regular expressions over words. The keyword
 # serves the names that hold it, all else gets its own. A name under "?" may miss the version that the label has; those without one are generic and come last.
@@ -32,15 +38,15 @@ mit-0 | mit 0 | mit 0 | mit no attribution(?: license)?; mit 0 license
 apache-1.1 | apache | apache 1 1 | apache (?:software )?license (?:version |v ?)?1 1
 apache-2.0 | apache | apache 2 0 | apache (?:software )?license (?:version |v ?)?2(?: 0)?; apache 2 0 license
 apache | apache | apache | apache (?:software )?license
-gpl-1.0 | gpl-1 | gpl 1 0(?: only| or later)? | gnu general public license (?:version |v ?)?1(?: 0)?; gplv1
-gpl-2.0 | public license | gpl 2 0(?: only| or later)? | gnu general public license (?:version |v ?)?2(?: 0)?(?: or later)?; gnu gpl (?:version |v ?)?2
-gpl-3.0 | public license | gpl 3 0(?: only| or later)? | gnu general public license (?:version |v ?)?3(?: 0)?(?: or later)?; gnu gpl (?:version |v ?)?3
+gpl-1.0 | gpl-1 | gpl 1 0(?: only| or later)? | gnu general public license (?:version |v ?)?1(?: 0)?; gplv1; gpl (?:version |v ?)1(?: 0)?
+gpl-2.0 | public license | gpl 2 0(?: only| or later)? | gnu general public license (?:version |v ?)?2(?: 0)?(?: or later)?; gnu gpl (?:version |v ?)?2; gplv2; gpl (?:version |v ?)2(?: 0)?
+gpl-3.0 | public license | gpl 3 0(?: only| or later)? | gnu general public license (?:version |v ?)?3(?: 0)?(?: or later)?; gnu gpl (?:version |v ?)?3; gplv3; gpl (?:version |v ?)3(?: 0)?
 gpl | public license | gpl | (?:gnu )?general public license; gnu gpl
-lgpl-2.1 | lesser | lgpl 2 1(?: only| or later)? | gnu lesser general public license (?:version |v ?)?2 1
-lgpl-3.0 | lesser | lgpl 3 0(?: only| or later)? | gnu lesser general public license (?:version |v ?)?3(?: 0)?
+lgpl-2.1 | lesser | lgpl 2 1(?: only| or later)? | gnu lesser general public license (?:version |v ?)?2 1; (?:gnu )?lgpl (?:version |v ?)?2 1; lgplv2 1
+lgpl-3.0 | lesser | lgpl 3 0(?: only| or later)? | gnu lesser general public license (?:version |v ?)?3(?: 0)?; (?:gnu )?lgpl (?:version |v ?)?3(?: 0)?; lgplv3
 lgpl-2.0 | library general | lgpl 2 0(?: only| or later)? | gnu library general public license (?:version |v ?)?2(?: 0)?
 lgpl | general public | lgpl | (?:gnu )?(?:lesser|library) general public license
-agpl-3.0 | affero | agpl 3 0(?: only| or later)? | gnu affero general public license (?:version |v ?)?3(?: 0)?
+agpl-3.0 | affero | agpl 3 0(?: only| or later)? | gnu affero general public license (?:version |v ?)?3(?: 0)?; (?:gnu )?agpl (?:version |v ?)?3(?: 0)?; agplv3
 agpl | affero | agpl | (?:gnu )?affero general public license
 gfdl-1.3 | documentation | gfdl 1 3(?: only| or later)? | gnu free documentation license (?:version |v ?)?1 3
 gfdl | documentation | gfdl | (?:gnu )?free documentation license
@@ -91,13 +97,68 @@ cecill-2.1 | cecill | cecill 2 1 | cecill(?: free software)? license(?: agreemen
 proprietary | rights | proprietary | all rights reserved
 public-domain | public domain | public domain | (?:released into|placed in|dedicated to) the public domain; public domain dedication
 """
+# Label, keyword and a sentence of the license's text, of its usual header, or its address.
+BODIES = """
+mit | hereby granted | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction
+mit | permission notice | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | merchantability | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non ?infringement
+bsl-1.0 | hereby granted | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+isc | hereby granted | permission to use copy modify (?:and )?(?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
+0bsd | hereby granted | permission to use copy modify (?:and )?(?:or )?distribute this software for any purpose with or without fee is hereby granted
+isc | disclaims all | the software is provided as is and the author disclaims all warranties with regard to this software
+bsd | redistribution and | redistribution and use in source and binary forms with or without modification are permitted
+bsd | redistributions of | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd | redistributions in | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+bsd-3-clause | endorse or | nor the names? of (?:its|the|his|her|their|any) contributors may be used to endorse or promote products derived from this software
+bsd-4-clause | advertising | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+zlib | held liable | this software is provided as is without any express or implied warranty in no event will the authors? be held liable for any damages arising from the use of this software
+zlib | misrepresented | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+apache-2.0 | compliance | you may not use this file except in compliance with the license
+apache-2.0 | applicable law | unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2.0 | apache org | apache org licenses license 2 0
+gpl-2.0 | version 2 | under the terms of the gnu general public license as published by the free software foundation (?:either )?version 2
+gpl-3.0 | version 3 | under the terms of the gnu general public license as published by the free software foundation (?:either )?version 3
+lgpl-2.1 | version 2 1 | under the terms of the gnu lesser general public license as published by the free software foundation (?:either )?version 2 1
+lgpl-3.0 | version 3 | under the terms of the gnu lesser general public license as published by the free software foundation (?:either )?version 3
+lgpl-2.0 | version 2 | under the terms of the gnu library general public license as published by the free software foundation (?:either )?version 2
+agpl-3.0 | version 3 | under the terms of the gnu affero general public license as published by the free software foundation (?:either )?version 3
+gpl | along with | you should have received a copy of the gnu general public license along with this
+lgpl | along with | you should have received a copy of the gnu (?:lesser|library) general public license along with this
+agpl | along with | you should have received a copy of the gnu affero general public license along with this
+gpl | will be useful | this program is distributed in the hope that it will be useful but without any warranty
+lgpl | will be useful | this library is distributed in the hope that it will be useful but without any warranty
+gpl | verbatim | everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed
+wtfpl | verbatim | everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed
+gpl | gnu org | gnu org licenses gpl
+gpl-2.0 | gnu org | gnu org licenses old licenses gpl 2 0
+gpl-3.0 | gnu org | gnu org licenses gpl 3 0
+lgpl | gnu org | gnu org licenses lgpl
+lgpl-2.1 | gnu org | gnu org licenses old licenses lgpl 2 1
+lgpl-3.0 | gnu org | gnu org licenses lgpl 3 0
+agpl | gnu org | gnu org licenses agpl
+agpl-3.0 | gnu org | gnu org licenses agpl 3 0
+mpl-2.0 | source code form | this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-2.0 | the mpl was | if a copy of the mpl was not distributed with this file you can obtain one at
+mpl-1.1 | contents of | the contents of this file are subject to the mozilla public license version 1 1
+mpl-2.0 | mozilla org | mozilla org mpl 2 0
+epl-1.0 | accompanying | this program and the accompanying materials are made available under the terms of the eclipse public license v ?1 0
+epl-2.0 | accompanying | this program and the accompanying materials are made available under the terms of the eclipse public license v ?2 0
+unlicense | unencumbered | this is free and unencumbered software released into the public domain
+cc0-1.0 | creativecommons | creativecommons org publicdomain zero 1 0
+public-domain | creativecommons | creativecommons org publicdomain mark 1 0
+"""
+BODY_PRIORITY, BODY_STRENGTH = 1500, 0.9
+# The Creative Commons licenses and their versions, as in their addresses.
+CC_KINDS = ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd")
+CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 # How a name or an identifier is put into a notice, with priority and strength.
 FORMS = (
     (0, 1.0, r"spdx license identifier {identifier}"),
-    (1, 0.95, r"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{name}"),
-    (2, 0.85, r"(?:under (?:the )?terms of|subject to|governed by) (?:the )?{name}"),
-    (3, 0.8, r"licen[cs]e (?:type )?{identifier}(?! licen)"),
-    (4, 0.6, r"{name}"),
+    (1, 1.0, r"(?:opensource|spdx) org licenses {identifier}"),
+    (2, 0.95, r"(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{name}"),
+    (3, 0.85, r"(?:under (?:the )?terms of|subject to|governed by) (?:the )?{name}"),
+    (4, 0.8, r"licen[cs]e (?:type )?{identifier}(?! licen)"),
+    (5, 0.6, r"{name}"),
 )
 
 
@@ -143,8 +204,17 @@ def keyword_of(pattern: str, wanted: str) -> str:
     return max((part for part in parts if all(part in text for text in texts)), key=len)
 
 
+def bodies() -> list[tuple[str, str, str]]:
+    """Label, keyword and pattern of every sentence and address."""
+    rows = [tuple(x.strip() for x in line.split(" | ")) for line in BODIES.strip().splitlines()]
+    for kind, version in product(CC_KINDS, CC_VERSIONS):
+        label = f"cc {kind} ".replace(" ", "-") + version.replace(" ", ".")
+        rows.append((label, "creativecommons", f"creativecommons org licenses {kind} {version}"))
+    return rows
+
+
 def rules() -> list[dict]:
-    """Every family in every form: the regular expressions, in the order of their priority."""
+    """Every family in every form, and the bodies: the regular expressions with their priorities."""
     families = [tuple(x.strip() for x in line.split(" | ")) for line in FAMILIES.strip().splitlines()]
     out = []
     for form, strength, pattern in FORMS:
@@ -156,6 +226,9 @@ def rules() -> list[dict]:
                 if "{name}" in pattern or rule not in [{k: r[k] for k in rule} for r in out]:
                     own = keyword_of(name.strip() if "{name}" in pattern else identifier, keyword)
                     out.append({**rule, "keyword": own, "pattern": f"(?<= ){body}(?= )"})
+    for rank, (label, keyword, body) in enumerate(bodies()):
+        rule = {"label": label, "priority": BODY_PRIORITY + rank, "strength": BODY_STRENGTH}
+        out.append({**rule, "keyword": keyword_of(body, keyword), "pattern": f"(?<= ){body}(?= )"})
     return out
 
 

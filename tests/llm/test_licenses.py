@@ -99,3 +99,52 @@ def test_identifiers_and_short_names(spark):
     assert [(r["labels"], r["score"]) for r in rows] == [(x, 1.0) for x in want]
     rows, _ = scan(spark, "licensed under the GNU GPL v3", "Expat License", "mit no attribution")
     assert [(r["labels"], r["score"]) for r in rows] == [("gpl-3.0", 0.95), ("mit", 0.6), ("mit-0", 0.6)]
+
+
+def test_license_texts_headers_and_addresses(spark):
+    rows, _ = scan(
+        spark,
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated\n"
+        'documentation files (the "Software"), to deal in the Software without restriction, including ...',
+        "Licensed under GPLv3",
+        "released under the LGPL v2.1",
+        "see https://creativecommons.org/licenses/by-sa/4.0/ for terms",
+        "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided ...",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+        "you may not use this file except in compliance with the License.\n// You may obtain a copy at\n"
+        "//     http://www.apache.org/licenses/LICENSE-2.0",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+        "held liable for any damages arising from the use of this software.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or ...",
+        "This is free and unencumbered software released into the public domain.",
+        "https://opensource.org/licenses/BSD-3-Clause",
+        "https://creativecommons.org/licenses/by-nc-nd/2.5/",
+    )
+    assert [r["labels"] for r in rows] == [
+        "mit", "gpl-3.0", "lgpl-2.1", "cc-by-sa-4.0", "bsd", "bsd-3-clause", "apache-2.0", "zlib", "gpl,gpl-3.0",
+        "unlicense", "bsd-3-clause", "cc-by-nc-nd-2.5",
+    ]
+    assert [r["score"] for r in rows] == [0.9, 0.95, 0.95, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 0.9, 1.0, 0.9]
+
+
+def test_the_longer_of_two_texts_with_one_start_suppresses_the_other(spark):
+    grant = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    rows, places = scan(
+        spark,
+        grant + ", provided that the above copyright notice and this permission notice appear in all copies.",
+        grant + ".",
+    )
+    assert [r["labels"] for r in rows] == ["isc", "0bsd"]
+    assert [[(p.start, p.last) for p in found] for found in places] == [[(0, 33)], [(0, 19)]]
+
+
+def test_words_of_licenses_alone_are_no_license(spark):
+    rows, _ = scan(
+        spark,
+        "the redistribution of incomes is permitted in source and binary forms",
+        "they hope it will be useful, without warranty or merchantability",
+        "a copy of the mpl was distributed to all; nobody is held liable",
+    )
+    assert [(r["labels"], r["score"]) for r in rows] == [("", 0.0)] * 3
