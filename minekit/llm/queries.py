@@ -31,7 +31,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation.n_best(documents(spark, sf_dir), with_ids=False)
+    return segmentation.n_best(documents(spark, sf_dir))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,7 +216,7 @@ def n_best(
             for at, text in enumerate(batch["text"]):
                 paths, decoded = model.segmented(text, n)
                 for rank, (score, ids) in enumerate(paths, start=1):
-                    restored = model.decode(ids) == text if rank > 1 and with_ids else decoded == text
+                    restored = (decoded if rank == 1 else model.decode(ids)) == text
                     row = (at, rank, score, len(ids) // 4, zlib.crc32(ids), restored)
                     rows.append((*row, ids) if with_ids else row)
             out = pd.DataFrame(rows, columns=names)

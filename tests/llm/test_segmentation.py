@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from minekit.llm import segmentation
+from minekit.llm import queries, segmentation
 
 PATH = public_tokenizers.path(segmentation.MODEL)
 
@@ -71,5 +71,18 @@ def test_long_runs_stay_cheap(model):
     assert np.frombuffer(x, "<u4").size > 1000
 
 
+def test_the_query_gives_the_ids_of_every_rank(spark, tmp_path, model):
+    rows = [(1, "the cat sat"), (2, "né 中 x"), (3, f"a{segmentation.BLANK}b"), (4, None), (4, "the cat sat")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_n_best(spark, str(tmp_path)).collect()
+    want = {(d, rank, ids) for d, t in rows for rank, (_, ids) in enumerate(model.segmentations(t or "", 3), 1)}
+    assert {(r.doc_id, r["rank"], bytes(r.ids)) for r in got} == want and len(got) == 13
+    texts = {d: t or "" for d, t in rows if d != 4}
+    for r in got:
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.n_pieces
+        if r.doc_id in texts:
+            assert (model.decode(bytes(r.ids)) == texts[r.doc_id]) == r.restored
+
+
 def test_empty_table(no_docs):
     assert segmentation.n_best(no_docs).collect() == []
