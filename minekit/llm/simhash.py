@@ -1,10 +1,10 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 A fingerprint has a bit set if more than half of the hashes of the text's word triples have it.
-Distinct fingerprints are cut into four blocks of 16 bits; if two differ in at most two bits, then at least
-two blocks are equal, so they meet under one of six keys. Fingerprints under keys that occur
-more than once are compared in tiles: the 64 bits of a tile's fingerprints lie in 64 planes of
-machine words, and bitwise counters sum the differences of 64 fingerprints at a time.
+Distinct fingerprints are cut into two blocks more than the bits in which two may differ (four blocks of 16
+bits for two bits); then at least two blocks are equal, so they meet under a key of two blocks (one of
+six). Fingerprints under keys that occur more than once are compared in tiles: the 64 bits of a tile's
+fingerprints lie in 64 planes of machine words, and bitwise counters sum the differences of 64 at a time.
 """
 
 from __future__ import annotations
@@ -25,28 +25,33 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints compared in one piece; larger groups of a key are compared tile against tile.
 TILE = 1024
-_BLOCKS, _BLOCK_BITS = 4, 16
+_LEAST_BLOCKS, _BLOCK_BITS = 4, 16  # the widest block has 16 bits
 
 
 # --- fingerprints ---------------------------------------------------------------------------
 
 
-def _fingerprint(text: str) -> int:
+def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's runs of ``size`` words, repeats included; fewer words are one run, none have none."""
     words = text.encode().lower().split()  # bytes: only A-Z and the six blanks count
     if not words:
-        return 0
-    n = max(len(words) - SHINGLE + 1, 1)
+        return np.zeros(0, np.uint64)
+    n = max(len(words) - size + 1, 1)
     joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
+    ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64)
     starts = [0, *ends[: n - 1].tolist()]
-    stops = (ends[min(SHINGLE, len(words)) - 1 :] - 1).tolist()
+    stops = (ends[min(size, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: the bits that more than half of the hashes have; zero without hashes."""
     total = np.zeros(64, np.int64)
-    for i in range(0, n, 65_536):
+    for i in range(0, len(hashes), 65_536):
         part = hashes[i : i + 65_536]
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
+    return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -58,7 +63,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf("bigint")
     def bits(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([_fingerprint(t) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(np.array([majority(shingle_hashes(t)) for t in texts], np.uint64).view(np.int64))
 
     importable(df.sparkSession)
     made = bits(text_of(text_col))
@@ -76,11 +81,13 @@ def planes(bits: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(each.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def close_pairs(queries: np.ndarray, tile: np.ndarray, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, tile) of fingerprints that differ in at most two bits.
+def close_pairs(
+    queries: np.ndarray, tile: np.ndarray, step: int = 8, radius: int = RADIUS
+) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (query, tile) of fingerprints that differ in at most ``radius`` bits.
 
-    The counters of one query against 64 fingerprints are three words: ones, twos, and more than
-    two for good. A difference is added with carries; after every ``step`` planes the blocks of 64
+    The counters of one query against 64 fingerprints are a word per binary digit, and one for those
+    beyond the radius for good. A difference is added with carries; after every ``step`` planes the blocks of 64
     that are all beyond the radius are abandoned.
     """
     stacked, lanes = planes(tile), len(tile)
@@ -91,16 +98,21 @@ def close_pairs(queries: np.ndarray, tile: np.ndarray, step: int = 8) -> tuple[n
     # a block is one query against one word of 64 fingerprints
     query, word = (x.ravel() for x in np.indices(shape))
     over = np.broadcast_to(np.packbits(beyond_end, bitorder="little").view(np.uint64), shape).ravel()
-    one, two = np.zeros_like(over), np.zeros_like(over)
+    first = radius + 1  # the first count beyond the radius; a counter that gets there stays beyond
+    digits = [np.zeros_like(over) for _ in range(first.bit_length())]
     for k in range(64):
         mask = np.uint64(0) - ((queries >> np.uint64(k)) & np.uint64(1))
         carry = stacked[k][word] ^ mask[query]
-        one, carry = one ^ carry, one & carry
-        two, carry = two ^ carry, two & carry
-        over = over | carry | (one & two)
+        there = None
+        for d, digit in enumerate(digits):
+            digits[d], carry = digit ^ carry, digit & carry
+            same = digits[d] if first >> d & 1 else ~digits[d]
+            there = same if there is None else there & same
+        over = over | carry | there
         if k % step == step - 1:
             going = over != ~np.uint64(0)
-            query, word, one, two, over = (x[going] for x in (query, word, one, two, over))
+            query, word, over = query[going], word[going], over[going]
+            digits = [digit[going] for digit in digits]
             if not len(query):
                 break
     near = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -121,7 +133,9 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _links(values: np.ndarray, others: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _links(
+    values: np.ndarray, others: np.ndarray | None = None, radius: int = RADIUS
+) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the components of close fingerprints: (fingerprint, smallest of its component)."""
     nodes = np.unique(values if others is None else np.concatenate([values, others]))
     tile = nodes if others is None else np.unique(others)
@@ -131,7 +145,7 @@ def _links(values: np.ndarray, others: np.ndarray | None = None) -> tuple[np.nda
     unsigned_q, unsigned_t = queries.view(np.uint64), tile.view(np.uint64)
     for i in range(0, len(queries), 512):
         for j in range(0, len(tile), TILE):
-            q, t = close_pairs(unsigned_q[i : i + 512], unsigned_t[j : j + TILE])
+            q, t = close_pairs(unsigned_q[i : i + 512], unsigned_t[j : j + TILE], radius=radius)
             a.append(at_q[q + i])
             b.append(at_t[t + j])
     root = _forest(len(nodes), np.concatenate(a), np.concatenate(b))
@@ -139,18 +153,19 @@ def _links(values: np.ndarray, others: np.ndarray | None = None) -> tuple[np.nda
     return nodes[linked], nodes[root[linked]]
 
 
-def _keys(bits: Column) -> Column:
-    block = [F.shiftright(bits, _BLOCK_BITS * i).bitwiseAND(F.lit(2**_BLOCK_BITS - 1)) for i in range(_BLOCKS)]
-    pairs = combinations(range(_BLOCKS), _BLOCKS - RADIUS)
+def _keys(bits: Column, radius: int = RADIUS) -> Column:
+    blocks = max(radius + 2, _LEAST_BLOCKS)
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    block = [F.shiftright(bits, a).bitwiseAND(F.lit(2 ** (b - a) - 1)) for a, b in zip(ends, ends[1:])]
     return F.array(
         *[
             F.lit(n << 32).bitwiseOR(F.shiftleft(block[i], _BLOCK_BITS)).bitwiseOR(block[j])
-            for n, (i, j) in enumerate(pairs)
+            for n, (i, j) in enumerate(combinations(range(blocks), 2))
         ]
     )
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(a, b)`` with a > b: links that connect all fingerprints of ``bits`` within the radius.
 
     Keys of one fingerprint are left out first. A key of more than ``TILE`` fingerprints is dealt
@@ -158,7 +173,7 @@ def links(distinct: DataFrame) -> DataFrame:
     link is lost. A task compares small groups together: what is close under different keys is
     close all the same. Each tile returns a spanning forest of its links, not all of them.
     """
-    keyed = distinct.select("bits", F.explode(_keys(F.col("bits"))).alias("key"))
+    keyed = distinct.select("bits", F.explode(_keys(F.col("bits"), radius)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("size") / TILE).cast("int"))
     # part p meets every other part once, in the pair (smaller, larger)
@@ -177,7 +192,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(values: np.ndarray, others: np.ndarray | None = None) -> pd.DataFrame:
-            return pd.DataFrame(dict(zip("ab", _links(values, others))))
+            return pd.DataFrame(dict(zip("ab", _links(values, others, radius))))
 
         def compared(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
             """All groups of ``rows``, each of them whole."""

@@ -101,3 +101,31 @@ def test_large_groups_stay_within_a_tile(spark):
 def test_empty_table(no_docs):
     assert simhash.near_duplicates(no_docs).collect() == []
     assert simhash.one_of_each(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 6, 9])
+def test_any_radius_equals_brute_force(spark, radius):
+    rng = np.random.default_rng(radius)
+    values = {int(c) for c in rng.integers(0, 2**63, 30, dtype=np.uint64)}
+    for c in list(values):
+        for flips in range(radius + 2):
+            values.add(c ^ sum(1 << int(k) for k in rng.permutation(64)[:flips]))
+    nodes = np.array(sorted(values), np.uint64)
+    q, t = simhash.close_pairs(nodes, nodes, radius=radius)
+    near = {(i, j) for i, x in enumerate(nodes) for j, y in enumerate(nodes) if int(x ^ y).bit_count() <= radius}
+    assert set(zip(q.tolist(), t.tolist())) == near
+    df = spark.createDataFrame([(int(x),) for x in nodes.view(np.int64)], "bits long").repartition(3)
+    found = {r.a: r.b for r in simhash.components(simhash.links(df, radius)).collect()}
+    signed = nodes.view(np.int64)
+    label = np.arange(len(nodes))
+    a, b = (np.array(x) for x in zip(*sorted(near)))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        if (new == label).all():
+            break
+        label = new
+    parts = {}
+    for x, k in zip(signed.tolist(), label.tolist()):
+        parts.setdefault(k, []).append(x)
+    assert found == {x: min(p) for p in parts.values() for x in p if x != min(p)}
