@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from minekit.operators import digests, models, products, text, trees
 from minekit.operators.scale import dealt
@@ -58,6 +60,45 @@ def test_bounds_leave_out_short_items(spark):
     assert sum(r.n_products for r in work.collect()) < 20 * 400 / 4
 
 
+def test_inexact_products_are_sums_in_order(spark):
+    """Scores that a matrix product rounds otherwise, near ties among them, are those of plain sums."""
+    rng = random.Random(9)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(10)]
+    base = [vector() for _ in range(40)]
+    items = [(i, [x * (1 + 2**-52 * (i % 3)) for x in base[i % 40]]) for i in range(400)]
+    users = [(u, vector()) for u in range(1500)]
+    top, work = products.top_products(*tables(spark, users, items), 5, 32, 4)
+
+    def product(v, w):
+        out = 0.0
+        for a, b in zip(v, w):  # sum() rounds less
+            out += a * b
+        return out
+
+    want = [(u, sorted((-product(v, w), i) for i, w in items)[:5]) for u, v in users]
+    assert collected(top) == [(u, r, i, -s) for u, found in want for r, (s, i) in enumerate(found, 1)]
+    assert work.count() == 5  # 1, 2, 4, 4 and the last 2 chunks
+
+
+def test_ids_are_texts_or_numbers(spark):
+    users = spark.createDataFrame([("x", [1.0]), ("y", [-1.0])], "user string, vector array<double>")
+    items = spark.createDataFrame([(f"i{k}", [float(k // 2)]) for k in range(20)], "item string, vector array<double>")
+    got = collected(products.top_products(users, items, 3, 2)[0])
+    assert [r[:3] for r in got if r[0] == "x"] == [("x", 1, "i18"), ("x", 2, "i19"), ("x", 3, "i16")]
+    assert [r[2] for r in got if r[0] == "y"] == ["i0", "i1", "i2"]
+
+
+def test_many_products_take_little_time(spark):
+    """A hundred million products of vectors of one length, where no bound helps, in seconds."""
+    angle = lambda c: F.array(F.cos(c), F.sin(c))
+    users = spark.range(10_000).select(F.col("id").alias("user"), angle(F.col("id") * 0.7).alias("vector"))
+    items = spark.range(10_000).select(F.col("id").alias("item"), angle(F.col("id") * 0.3).alias("vector"))
+    start = time.monotonic()
+    top, work = products.top_products(users, items)
+    assert top.count() == 50_000 and work.agg(F.sum("n_products")).first()[0] > 9 * 10**7
+    assert time.monotonic() - start < 60
+
+
 @pytest.mark.parametrize(("users", "items"), [([], [(1, [1.0])]), ([(1, [1.0])], []), ([], [])])
 def test_empty_sides_give_no_products(spark, users, items):
     top, work = products.top_products(*tables(spark, users, items))
@@ -154,3 +195,17 @@ def test_models_do_not_depend_on_the_layout_of_the_input(spark):
         parts = dealt(placed, ["id"])
         assert parts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert len(texts) == 1
+
+
+def test_a_fit_gives_up_its_shuffle_files(spark, tmp_path):
+    """Factors are written every other iteration, and the shuffle files behind them go at once."""
+    from minekit.operators import recommend
+
+    rows = [(u, i, float((u * i) % 5)) for u in range(60) for i in range(u % 7, 60, 7)]
+    ratings = spark.createDataFrame(rows, "user int, item int, rating float")
+    als = recommend._als(maxIter=6, rank=2, seed=1)
+    assert als.getCheckpointInterval() <= 2
+    plain = als.copy({als.checkpointInterval: 10}).fit(ratings)
+    cut = recommend.als_fit(ratings, max_iter=6, reg=0.1, rank=2, seed=1)
+    got, want = ({r.id: list(r.features) for r in m.userFactors.collect()} for m in (cut, plain))
+    assert got == want
