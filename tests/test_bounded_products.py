@@ -80,6 +80,13 @@ def test_inexact_products_are_sums_in_order(spark):
     assert work.count() == 5  # 1, 2, 4, 4 and the last 2 chunks
 
 
+def test_items_with_a_missing_number_come_first_where_they_are_met(spark):
+    items = [(1, [0.0, 0.0]), (2, [0.0, None]), (3, [3.0, 0.0]), (4, [4.0, 0.0]), (5, [None, 1.0])]
+    users = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [None, 1.0])]
+    top, _ = products.top_products(*tables(spark, users, items), 2, 2)
+    assert collected(top) == [(1, 1, 4, 4.0), (1, 2, 3, 3.0), (2, 1, 2, None), (2, 2, 1, 0.0)]
+
+
 def test_ids_are_texts_or_numbers(spark):
     users = spark.createDataFrame([("x", [1.0]), ("y", [-1.0])], "user string, vector array<double>")
     items = spark.createDataFrame([(f"i{k}", [float(k // 2)]) for k in range(20)], "item string, vector array<double>")
