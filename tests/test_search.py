@@ -1,0 +1,80 @@
+"""The search fits each family of settings once; what it reports equals one fit per setting and fold."""
+
+import math
+import random
+
+import pytest
+from pyspark.ml.regression import LinearRegression
+
+from minekit.operators import models
+from minekit.operators.metrics import accuracy, regression_metrics
+from minekit.operators.prep import fold_test, fold_train, with_fold
+from minekit.operators.scale import dealt
+
+FEATURES = ["a", "b"]
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(600):
+        a, b = rnd.uniform(0, 10), rnd.randrange(5)
+        rows.append((i, a, b, math.sin(a) * b + rnd.gauss(0, 0.3), int(a + rnd.gauss(0, 1) > 5) + (b > 3)))
+    return spark.createDataFrame(rows, "id long, a double, b int, y double, cls int").cache()
+
+
+def one_by_one(df, kind, grid, label, folds, **params):
+    pipeline = models.build_pipeline(kind, FEATURES, label, **params)
+    data = dealt(with_fold(df, ["id"], folds), ["id"])
+    out = {}
+    for i, setting in enumerate(models.expand_grid(pipeline.getStages()[-1], grid)):
+        for fold in range(folds):
+            scored = pipeline.fit(fold_train(data, fold), dict(setting)).transform(fold_test(data, fold))
+            out[i, fold] = (accuracy if kind == "dt_class" else regression_metrics)(scored, label).first()[0]
+    return out
+
+
+@pytest.mark.parametrize(
+    "kind, grid, label, params, fits",
+    [
+        ("dt_class", {"maxDepth": [6, 2, 4]}, "cls", {}, 1),
+        ("dt", {"maxDepth": [2, 5], "minInstancesPerNode": [1, 20]}, "y", {}, 2),
+        ("rf", {"maxDepth": [1, 4]}, "y", {"featureSubsetStrategy": "all", "numTrees": 3}, 1),
+        ("rf", {"maxDepth": [1, 4]}, "y", {"featureSubsetStrategy": "1", "numTrees": 3}, 2),
+        ("gbt", {"maxIter": [3, 1, 4]}, "y", {"maxDepth": 2}, 1),
+        ("linear", {"regParam": [10.0, 0.01], "maxIter": [1, 10]}, "y", {}, 0),
+        ("linear", {"regParam": [0.01], "elasticNetParam": [0.5]}, "y", {}, 1),
+    ],
+)
+def test_trials_equal_one_fit_each(noisy, monkeypatch, kind, grid, label, params, fits):
+    asked = one_by_one(noisy, kind, grid, label, 2, **params)
+    cls, done = models._KINDS[kind], []
+    fit = cls._fit
+    monkeypatch.setattr(cls, "_fit", lambda self, data: done.append(1) or fit(self, data))
+    found = models.fit_supervised(noisy, kind, FEATURES, label, ["id"], grid, 2, **params)
+    got = {(r[0], r[2]): r[3] for r in found.trials.collect()}
+    assert got == {k: pytest.approx(v, rel=1e-9) for k, v in asked.items()}
+    assert len(done) == fits * 2 + 1  # and the refit
+
+
+def test_no_unique_plane_is_left_to_the_library(noisy, monkeypatch):
+    twice = noisy.withColumn("b", noisy.a * 2)
+    done, fit = [], LinearRegression._fit
+    monkeypatch.setattr(LinearRegression, "_fit", lambda self, data: done.append(1) or fit(self, data))
+    models.fit_supervised(twice, "linear", FEATURES, "y", ["id"], {"regParam": [0.0]}, 2)
+    assert len(done) == 3
+
+
+def test_fewer_fits_at_once_for_many_rows(noisy, monkeypatch):
+    class Pool(models.ThreadPool):
+        def __init__(self, n):
+            sizes.append(n)
+            super().__init__(n)
+
+    sizes = []
+    monkeypatch.setattr(models, "ThreadPool", Pool)
+    for most in (10**6, 1300, 100):
+        monkeypatch.setattr(models, "ROWS_AT_ONCE", most)
+        models.fit_supervised(noisy, "dt", FEATURES, "y", ["id"], {"maxDepth": [2]}, 5)
+    assert sizes == [4, 2, 1]
