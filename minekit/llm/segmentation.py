@@ -28,7 +28,9 @@ from minekit.llm.common import importable, text_of
 
 MODEL = "piece_bpe_32k.model"
 N_BEST = 3
-MEMO_WORDS = 400_000
+#: Words that a worker remembers with their best path, and those of them with all asked paths.
+MEMO_WORDS = 300_000
+MEMO_CHOICES = 20_000
 BLANK = "▁"
 #: What a byte of a character outside the vocabulary costs beyond the worst piece.
 UNKNOWN_COST = 10.0
@@ -57,6 +59,7 @@ class Pieces:
         self.steps |= {p: (score, array("I", [i]).tobytes()) for p, (score, i) in self.piece.items()}
         self.text = {i: model.id_to_piece(i).encode() for i in plain} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.words: dict[int, dict[str, tuple]] = {}  # per number of paths
+        self.choices: dict[tuple[str, int], tuple] = {}
         crossing = re.compile(f"[{_L}][\x21-\x40\x5b-\x60\x7b-\x7e]|[^{BLANK}]{BLANK}|\n")
         if bad := [p for p in self.piece if crossing.search(p)]:
             raise ValueError(f"pieces go beyond a word: {bad[:5]}")
@@ -131,46 +134,56 @@ class Pieces:
             steps = (ids, steps)
 
     def word(self, s: str, n: int) -> tuple:
-        """(best score, loss of the second, ids of the best as bytes, these decoded, all) of a word, remembered."""
-        every = tuple(self.best(s, n))
+        """(best score, loss of the second, ids of the best as bytes, these decoded) of a word, remembered."""
+        every = self.best(s, n)
         loss = every[0][0] - every[1][0] if len(every) > 1 else float("inf")
         spelled = self.spelled(every[0][1])
-        # equal texts share one string
-        found = (every[0][0], loss, every[0][1], s if spelled == s else spelled, every)
+        # equal texts share one string; the other paths are asked of few words of a text and not kept here
+        found = (every[0][0], loss, every[0][1], s if spelled == s else spelled)
         known = self.words.setdefault(n, {})
         if len(known) < MEMO_WORDS:
             known[s] = found
         return found
 
+    def paths(self, s: str, n: int) -> tuple:
+        """The ``n`` best paths of a word as (score, ids, these decoded); the latest asked are remembered."""
+        found = self.choices.get((s, n))
+        if found is None:
+            found = tuple((score, ids, self.spelled(ids)) for score, ids in self.best(s, n))
+            if len(self.choices) >= MEMO_CHOICES:
+                self.choices.clear()
+            self.choices[s, n] = found
+        return found
+
     def segmentations(self, text: str, n: int) -> list[tuple[float, bytes]]:
         """The ``n`` best segmentations of a whole text as (score, ids in 32-bit bytes), best first."""
-        return self.segmented(text, n)[0]
+        return [(score, ids) for score, ids, _ in self.segmented(text, n)]
 
-    def segmented(self, text: str, n: int) -> tuple[list[tuple[float, bytes]], str]:
-        """``segmentations`` of a text, and the text that decoding the best of them gives."""
+    def segmented(self, text: str, n: int) -> list[tuple[float, bytes, str]]:
+        """``segmentations`` of a text, each with the text that decoding its ids gives."""
         if not text:
-            return [(0.0, b"")], ""
+            return [(0.0, b"", "")]
         known = self.words.setdefault(n, {})
         parts = _WORD.findall(BLANK + text.replace(" ", BLANK))
         words = [found or self.word(s, n) for s, found in zip(parts, map(known.get, parts))]
-        scores, losses, ids, spelled, _ = zip(*words)
+        scores, losses, ids, spelled = zip(*words)
         total = sum(scores)
         # the k-th best path changes at most k - 1 words, none of them outside the smallest losses
         open_ = [k for k in heapq.nsmallest(n - 1, range(len(words)), losses.__getitem__) if losses[k] < float("inf")]
         open_.sort()
+        every = [self.paths(parts[k], n) for k in open_]
         chosen: list[tuple[int, tuple[int, ...]]] = [(0, ())]
-        for k in open_:
-            every = words[k][4]
-            wider = [(loss + every[0][0] - x[0], (*path, r)) for loss, path in chosen for r, x in enumerate(every)]
+        for paths in every:
+            wider = [(loss + paths[0][0] - x[0], (*path, r)) for loss, path in chosen for r, x in enumerate(paths)]
             chosen = heapq.nsmallest(n, wider)
         out = []
         for loss, path in chosen:
-            own = list(ids)
-            for k, r in zip(open_, path):
-                own[k] = words[k][4][r][1]
-            out.append(((total - loss) / 1000, b"".join(own)))
-        # no character goes on into the next word, so the words are decoded one by one
-        return out, _plain("".join(spelled))
+            own, text_ = list(ids), list(spelled)
+            # no character goes on into the next word, so ids are decoded word by word: changed words from their own
+            for k, paths, r in zip(open_, every, path):
+                _, own[k], text_[k] = paths[r]
+            out.append(((total - loss) / 1000, b"".join(own), _plain("".join(text_))))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the blank that encoding puts before it is taken off again."""
@@ -214,10 +227,8 @@ def n_best(
         for batch in batches:
             rows = []
             for at, text in enumerate(batch["text"]):
-                paths, decoded = model.segmented(text, n)
-                for rank, (score, ids) in enumerate(paths, start=1):
-                    restored = (decoded if rank == 1 else model.decode(ids)) == text
-                    row = (at, rank, score, len(ids) // 4, zlib.crc32(ids), restored)
+                for rank, (score, ids, decoded) in enumerate(model.segmented(text, n), start=1):
+                    row = (at, rank, score, len(ids) // 4, zlib.crc32(ids), decoded == text)
                     rows.append((*row, ids) if with_ids else row)
             out = pd.DataFrame(rows, columns=names)
             yield out.drop(columns="at").assign(doc_id=batch["doc_id"].array.take(out["at"].to_numpy()))
