@@ -687,7 +687,9 @@ def top_items_work(spark: SparkSession, sf: str) -> DataFrame:
 
 def trees_as_tables(spark: SparkSession, sf: str) -> DataFrame:
     """A tree, a forest and a boosted model scored from their tables, and the rows where pyspark.ml differs."""
-    trips = dealt(_levels(spark, sf), TRIP_KEYS)
+    needed = dict.fromkeys([*TRIP_KEYS, *TRIP_FEATURES, "level"])
+    # three fits and three scorings read it, several times each: written once, as narrow as they need it
+    trips = checkpointed(dealt(_levels(spark, sf).select(*needed), TRIP_KEYS))
     fits = {"dt": {}, "rf": {"featureSubsetStrategy": "all"}, "gbt": {"maxIter": 3}}
     out = None
     for kind, params in fits.items():

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.ml.regression import LinearRegression
 
+from minekit.catalog import queries
 from minekit.operators import models
 from minekit.operators.metrics import accuracy, regression_metrics
 from minekit.operators.prep import fold_test, fold_train, with_fold
@@ -78,3 +79,15 @@ def test_fewer_fits_at_once_for_many_rows(noisy, monkeypatch):
         monkeypatch.setattr(models, "ROWS_AT_ONCE", most)
         models.fit_supervised(noisy, "dt", FEATURES, "y", ["id"], {"maxDepth": [2]}, 5)
     assert sizes == [4, 2, 1]
+
+
+def test_fits_of_trees_as_tables_read_a_written_input(spark, sf_dir, monkeypatch):
+    plans, fit_all = [], models.fit_all
+
+    def noted(train, *args, **params):
+        plans.append(train._jdf.queryExecution().executedPlan().toString())
+        return fit_all(train, *args, **params)
+
+    monkeypatch.setattr(models, "fit_all", noted)
+    queries()["trees_as_tables"](spark, sf_dir)
+    assert len(plans) == 3 and not any("Exchange" in p or "FileScan" in p for p in plans)
