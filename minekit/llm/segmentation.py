@@ -12,7 +12,6 @@ combine those of its words, and only the words with the smallest losses can be i
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from array import array
@@ -77,22 +76,54 @@ class Pieces:
         """
         get, size = self.steps.get, len(s)
         ends: list[list] = [[] for _ in range(size + 1)]
-        forward = [0]
+        forward: list = [0, *[float("-inf")] * size]
         for i in range(size):
             so_far = forward[i]
             for j in range(i + 1, size + 1):
                 found = get(s[i:j])
                 if found:
-                    ends[j].append((so_far + found[0], i, found[1]))
-                elif found is None:
+                    total = so_far + found[0]
+                    ends[j].append((total, i, found[1]))
+                    if total > forward[j]:
+                        forward[j] = total
+                elif j == i + 1:
+                    raw = s[i].encode()
+                    ids = array("I", map(self.bytes.__getitem__, raw)).tobytes()
+                    total = so_far + self.unknown * len(raw)
+                    ends[j].append((total, i, ids))
+                    if total > forward[j]:
+                        forward[j] = total
+                if found is None:
                     break
-            if not get(s[i]):
-                raw = s[i].encode()
-                ids = array("I", map(self.bytes.__getitem__, raw)).tobytes()
-                ends[i + 1].append((so_far + self.unknown * len(raw), i, ids))
-            forward.append(max(ends[i + 1])[0])
         return ends, forward
 
+    def first(self, s: str) -> tuple[int, float, bytes]:
+        """(best score, loss of the second, ids of the best) of a word: what ``best`` gives, without its other paths.
+
+        The second path leaves the best one for the last time at the step back that loses least.
+        """
+        ends, forward = self.lattice(s)
+        loss, j, steps = float("inf"), len(s), []
+        while j:
+            here = ends[j]
+            if len(here) == 1:
+                _, j, ids = here[0]
+            else:
+                top, lost = forward[j], loss
+                onward = None
+                for total, i, ids in here:
+                    if total == top:
+                        if onward:
+                            lost = 0
+                        onward = (i, ids)
+                    elif top - total < lost:
+                        lost = top - total
+                loss = lost
+                j, ids = onward
+            steps.append(ids)
+        steps.reverse()
+        return forward[-1], loss, b"".join(steps)
+
     def best(self, s: str, n: int) -> list[tuple[int, bytes]]:
         """The ``n`` best segmentations of a word (fewer if there are no more), best first.
 
@@ -135,11 +166,10 @@ class Pieces:
 
     def word(self, s: str, n: int) -> tuple:
         """(best score, loss of the second, ids of the best as bytes, these decoded) of a word, remembered."""
-        every = self.best(s, n)
-        loss = every[0][0] - every[1][0] if len(every) > 1 else float("inf")
-        spelled = self.spelled(every[0][1])
+        score, loss, ids = self.first(s)
+        spelled = self.spelled(ids)
         # equal texts share one string; the other paths are asked of few words of a text and not kept here
-        found = (every[0][0], loss, every[0][1], s if spelled == s else spelled)
+        found = (score, loss, ids, s if spelled == s else spelled)
         known = self.words.setdefault(n, {})
         if len(known) < MEMO_WORDS:
             known[s] = found
@@ -169,19 +199,32 @@ class Pieces:
         scores, losses, ids, spelled = zip(*words)
         total = sum(scores)
         # the k-th best path changes at most k - 1 words, none of them outside the smallest losses
-        open_ = [k for k in heapq.nsmallest(n - 1, range(len(words)), losses.__getitem__) if losses[k] < float("inf")]
+        open_, left = [], list(losses)
+        for _ in range(min(n - 1, len(left))):
+            smallest = min(left)
+            if smallest == float("inf"):
+                break
+            open_.append(left.index(smallest))
+            left[open_[-1]] = float("inf")
         open_.sort()
         every = [self.paths(parts[k], n) for k in open_]
         chosen: list[tuple[int, tuple[int, ...]]] = [(0, ())]
         for paths in every:
             wider = [(loss + paths[0][0] - x[0], (*path, r)) for loss, path in chosen for r, x in enumerate(paths)]
-            chosen = heapq.nsmallest(n, wider)
+            wider.sort()
+            chosen = wider[:n]
+        # no character goes on into the next word, so ids are decoded word by word: what all paths share is joined
+        # once, the open words are spelled from the ids that each path has for them
+        shared = [
+            (b"".join(ids[i:j]), "".join(spelled[i:j]))
+            for i, j in zip([0, *(k + 1 for k in open_)], [*open_, len(words)])
+        ]
         out = []
         for loss, path in chosen:
-            own, text_ = list(ids), list(spelled)
-            # no character goes on into the next word, so ids are decoded word by word: changed words from their own
-            for k, paths, r in zip(open_, every, path):
-                _, own[k], text_[k] = paths[r]
+            own, text_ = [shared[0][0]], [shared[0][1]]
+            for paths, r, (behind, spelled_behind) in zip(every, path, shared[1:]):
+                own += (paths[r][1], behind)
+                text_ += (paths[r][2], spelled_behind)
             out.append(((total - loss) / 1000, b"".join(own), _plain("".join(text_))))
         return out
 

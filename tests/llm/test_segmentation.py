@@ -84,5 +84,15 @@ def test_the_query_gives_the_ids_of_every_rank(spark, tmp_path, model):
             assert (model.decode(bytes(r.ids)) == texts[r.doc_id]) == r.restored
 
 
+def test_the_best_path_alone_is_that_of_the_search(model):
+    rng = random.Random(5)
+    words = ["a", "\n", "▁▁", "▁the", "ß漢", "unpiecelikeword", "abababab"]
+    words += ["".join(rng.choice("ab▁ée.,1漢") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    for word in words:
+        every = model.best(word, 3)
+        lost = every[0][0] - every[1][0] if len(every) > 1 else float("inf")
+        assert model.first(word) == (every[0][0], lost, every[0][1]), word
+
+
 def test_empty_table(no_docs):
     assert segmentation.n_best(no_docs).collect() == []
