@@ -250,8 +250,10 @@ def usual_bits(
     At most ``max_train`` of each language are asked; a language that none of them has is left out.
     """
     told = predict(_chosen(df, id_col, text_col, lang_col, max_train, held=True), trees, "text")
-    rows = told.select("language.*").where(F.col("lang_pred") != UNKNOWN)
-    return {r.lang_pred: r.m for r in rows.groupBy("lang_pred").agg(F.median("bits").alias("m")).collect()}
+    medians = told.select("language.*").groupBy("lang_pred").agg(F.median("bits").alias("m"))
+    # texts without a language go here: a filter would be pushed below the prediction and ask for it twice, and a
+    # task then holds two Python workers, both of which stay for the stages behind
+    return {r.lang_pred: r.m for r in medians.collect() if r.lang_pred != UNKNOWN}
 
 
 def known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -86,3 +86,18 @@ def test_nothing_to_learn_from(docs, no_docs):
     # a language is learned from rows with text, language and id alone
     small = language.train(docs, max_train=1)
     assert set(small.languages) <= {"en", "fr", "de"}
+
+
+def test_held_out_texts_are_predicted_once(spark, monkeypatch, capsys):
+    rows = [(i, w, lang) for i in range(60) for lang, w in (("en", f"the cat sat {i}"), ("de", f"über das Maß {i}"))]
+    rows += [(i, None, "en") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language.train(docs)
+    asked, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: asked.append(df) or collect(df))
+    usual = language.usual_bits(docs, trees)
+    assert usual and language.UNKNOWN not in usual
+    capsys.readouterr()
+    asked[-1].explain()
+    # a second one would hold a second Python worker in each task, which stays
+    assert capsys.readouterr().out.split("Initial Plan")[0].count("ArrowEvalPython") == 1
