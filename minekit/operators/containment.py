@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from minekit.operators.scale import checkpointed, large_groups
+
+OPENED = 64  # items of a basket up to which meeting all its pairs costs less than looking candidates up
+
 
 def _ranked(liked: DataFrame, min_conf: float) -> tuple[DataFrame, DataFrame]:
     """``(user, item, freq)`` of all rows, and those of each item's prefix."""
@@ -43,23 +47,36 @@ def candidates(liked: DataFrame, min_conf: float = 0.8, min_pairs: int = 2) -> D
 
 
 def rules_confidence(
-    liked: DataFrame, min_conf: float = 0.8, min_pairs: int = 2, directed: bool = True
+    liked: DataFrame, min_conf: float = 0.8, min_pairs: int = 2, directed: bool = True, opened: int = OPENED
 ) -> DataFrame:
     """The rows of ``basket.rules_confidence``, counted for the candidates only.
 
-    A candidate meets the users of a and the users of b once each; hot items and users are skewed joins, which
-    adaptive execution splits.
+    Rows and candidates are written once, as several passes read them. In baskets of up to ``opened`` items those of
+    candidates meet each other, which moves each row once however many candidates an item has. In larger
+    baskets a candidate meets the users of a and the users of b once each; hot items and users are
+    skewed joins, which adaptive execution splits.
     """
-    rows = liked.select("user", "item").distinct()
-    asked = candidates(liked, min_conf, min_pairs)
+    rows = checkpointed(liked.select("user", "item").distinct())
+    asked = candidates(rows, min_conf, min_pairs)
     if not directed:
         asked = asked.where("item_a < item_b")
-    users = asked.join(rows.select(F.col("item").alias("item_a"), "user"), "item_a")
-    n = F.count(F.lit(1))
+    asked = checkpointed(asked)
+    pair, n = ["item_a", "item_b"], F.count(F.lit(1)).alias("n")
+    wide = large_groups(rows, "user", opened).select("user")
+
+    def side(baskets: DataFrame, item: str) -> DataFrame:
+        return baskets.withColumnRenamed("item", item).join(asked.select(item).distinct(), item, "left_semi")
+
+    small = rows.join(wide, "user", "left_anti")
+    met = side(small, "item_a").join(side(small, "item_b"), "user").where("item_a != item_b").groupBy(pair).agg(n)
+    large = rows.join(wide, "user", "left_semi")
+    users = asked.join(large.withColumnRenamed("item", "item_a"), "item_a")
+    looked_up = users.join(large.withColumnRenamed("item", "item_b"), ["item_b", "user"]).groupBy(pair).agg(n)
     return (
-        users.join(rows.select(F.col("item").alias("item_b"), "user"), ["item_b", "user"])
-        .groupBy("item_a", "item_b", F.col("freq_a").alias("n_a"))
-        .agg(n.alias("n"))
+        met.unionByName(looked_up)
+        .groupBy(pair)
+        .agg(F.sum("n").alias("n"))
+        .join(asked.withColumnRenamed("freq_a", "n_a"), pair)
         .withColumn("confidence", F.col("n").cast("double") / F.col("n_a"))
         .where((F.col("n") >= min_pairs) & (F.col("confidence") > F.lit(float(min_conf))))
         .select("item_a", "item_b", "n", "n_a", "confidence")

@@ -82,6 +82,17 @@ def test_rules_equal_those_of_the_baskets(spark, min_conf, min_pairs, directed):
         assert [tuple(r) for r in found(liked(spark, rows), min_conf, min_pairs, directed).collect()] == want != []
 
 
+@pytest.mark.parametrize("opened", [0, 11, 64])
+def test_small_and_large_baskets_count_alike(spark, opened):
+    rng = random.Random(7)
+    rows = [(u, i) for u in range(50) for i in range(14) if rng.random() < 0.9]
+    rows += [(u, i) for u in range(50, 60) for i in range(3)] + [(u, i) for u in (1, 2) for i in range(20, 40)]
+    rows += rows[:30] + [(3, None), (None, None)]
+    df = spark.createDataFrame(rows, "user long, item long")
+    want = [tuple(r) for r in basket.rules_confidence(df.dropna(), 0.7, 2).collect()]
+    assert [tuple(r) for r in containment.rules_confidence(df, 0.7, 2, opened=opened).collect()] == want != []
+
+
 def test_prefixes_open_few_candidates(spark):
     # one user likes everything: its basket alone makes all pairs, and hardly any prefix opens it
     rng = random.Random(4)
