@@ -54,7 +54,8 @@ def pair_counts(spark: SparkSession, path: str) -> DataFrame:
     """``(item_a, item_b, n)`` over all finished batches."""
     # a batch without new rows leaves no liked rows and no pairs; one that is not finished has pairs only
     finished = spark.read.parquet(f"{path}/liked").select("batch").distinct()
-    pairs = spark.read.parquet(f"{path}/pairs").join(finished, "batch", "left_semi")
+    # one row per batch, hence the broadcast: dealt by batch, all pairs of a batch would meet in one task
+    pairs = spark.read.parquet(f"{path}/pairs").join(F.broadcast(finished), "batch", "left_semi")
     return pairs.groupBy("item_a", "item_b").agg(F.sum("n").alias("n"))
 
 

@@ -64,6 +64,22 @@ def test_a_batch_that_failed_is_not_seen_and_can_be_repeated(spark, monkeypatch)
             stripe_store.add(spark, path, number, liked(spark, []))
 
 
+def test_pairs_are_not_dealt_by_batch(spark):
+    path = scratch_path(spark, "store")
+    stripe_store.create(spark, path)
+    stripe_store.add(spark, path, 1, liked(spark, [(1, 1), (1, 2)]))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many pairs
+    try:
+        counted = stripe_store.pair_counts(spark, path)
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # the batches are told apart once; the pairs, of which a batch has many, stay where they are read
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(batch") == 1
+    assert [tuple(r) for r in counted.collect()] == [(1, 2, 1)]
+
+
 def test_ids_stay_and_go_on(spark):
     path = scratch_path(spark, "ids")
     dictionary.create(spark, path, "string")
