@@ -2,12 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, LDAModel
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseMatrix, DenseVector, Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from minekit.operators.scale import checkpoint_root
+from minekit.operators import topic_counts
+from minekit.operators.scale import checkpoint_root, scratch_path
+
+GAMMA_SHAPE = 100.0  # of Spark's models by EM
+
+
+@dataclass(frozen=True)
+class EmModel:
+    """Topics by EM, with the two methods of ``LDAModel`` that the reports need."""
+
+    counts: topic_counts.TopicCounts
+    k: int
+    seed: int
+
+    def describeTopics(self, maxTermsPerTopic: int = 10) -> DataFrame:
+        """``(topic, termIndices, termWeights)``: found in the table of terms, none of it on the driver."""
+        totals = F.array(*[F.lit(total) for total in self.counts.totals])
+        weights = self.counts.terms.select(
+            "idx", F.posexplode(F.zip_with("counts", totals, lambda n, total: n / total)).alias("topic", "weight")
+        )
+        order = Window.partitionBy("topic").orderBy(F.desc("weight"), "idx")
+        heavy = weights.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= maxTermsPerTopic)
+        entries = F.array_sort(F.collect_list(F.struct("rank", "idx", "weight")))
+        return heavy.groupBy("topic").agg(entries.alias("e")).select(
+            "topic", F.col("e.idx").alias("termIndices"), F.col("e.weight").alias("termWeights")
+        )
+
+    def transform(self, dataset: DataFrame) -> DataFrame:
+        """``dataset`` with ``topicDistribution``, as Spark's own model infers it from the counts."""
+        return self.local().transform(dataset)
+
+    def local(self) -> LocalLDAModel:
+        """Spark's model of these counts; like every one of Spark's it holds topics x terms on the driver."""
+        spark = self.counts.terms.sparkSession
+        found = self.counts.terms.toArrow()
+        matrix = np.zeros((self.counts.size, self.k))
+        matrix[found["idx"].to_numpy()] = found["counts"].combine_chunks().flatten().to_numpy().reshape(-1, self.k)
+        # a saved model whose topics are replaced: there is no other public way to one with given topics
+        path = scratch_path(spark, "lda")
+        any_text = spark.createDataFrame([(Vectors.sparse(1, [0], [1.0]),)], ["features"])
+        LDA(k=self.k, maxIter=1, optimizer="online", seed=self.seed).fit(any_text).write().save(path)
+        schema = spark.read.parquet(f"{path}/data").schema
+        topics = DenseMatrix(self.counts.size, self.k, matrix.ravel(), isTransposed=True)
+        row = (self.counts.size, topics, DenseVector([self.counts.alpha] * self.k), self.counts.eta, GAMMA_SHAPE)
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
+        return LocalLDAModel.load(path).setSeed(self.seed).setFeaturesCol("features")
 
 
 def fit_lda(
@@ -17,9 +66,11 @@ def fit_lda(
     optimizer: str = "em",
     seed: int = 12345,
     checkpoint_interval: int = 10,
-) -> LDAModel:
-    """Fit LDA on ``(id, features)``; pass a checkpointed frame, every iteration leans on it."""
+) -> LDAModel | EmModel:
+    """Fit LDA on ``(id, features)``; pass a checkpointed frame, the fit leans on it."""
     checkpoint_root(vectors.sparkSession)
+    if optimizer == "em":
+        return EmModel(topic_counts.fit(vectors, k, max_iter, seed, checkpoint_interval), k, seed)
     lda = LDA(
         k=k,
         maxIter=max_iter,
@@ -31,7 +82,7 @@ def fit_lda(
     return lda.fit(vectors)
 
 
-def topic_terms(model: LDAModel, vocab: DataFrame, n: int = 30) -> DataFrame:
+def topic_terms(model: LDAModel | EmModel, vocab: DataFrame, n: int = 30) -> DataFrame:
     """``(topic, rank, term, weight)``: the ``n`` heaviest terms of each topic."""
     # k * n rows at most, hence the broadcast
     heavy = model.describeTopics(n).select(
@@ -47,7 +98,9 @@ def topic_terms(model: LDAModel, vocab: DataFrame, n: int = 30) -> DataFrame:
     return vocab.join(F.broadcast(picks), "idx").select("topic", "rank", "term", "weight")
 
 
-def top_documents(model: LDAModel, vectors: DataFrame, docs: DataFrame, n: int = 20) -> DataFrame:
+def top_documents(
+    model: LDAModel | EmModel, vectors: DataFrame, docs: DataFrame, n: int = 20
+) -> DataFrame:
     """``(topic, rank, id, value, weight)``: the ``n`` documents with the most weight per topic."""
     mixture = model.transform(vectors).select(
         "id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight")

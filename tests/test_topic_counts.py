@@ -1,0 +1,59 @@
+"""EM for LDA in blocks against Spark's own on a graph."""
+
+import numpy as np
+import pytest
+from pyspark.ml.clustering import LDA
+from pyspark.ml.linalg import Vectors
+
+from minekit.operators import topic_counts, topics
+from minekit.operators.scale import checkpointed, dealt
+
+TERMS = 60
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(150):
+        terms = sorted({*rng.integers(0, TERMS, 10).tolist(), i % 2 * (TERMS - 1)})
+        rows.append((i, Vectors.sparse(TERMS, terms, rng.integers(0, 4, len(terms)).astype(float))))  # some zeros
+    rows.append((150, Vectors.dense(rng.integers(0, 3, TERMS).astype(float))))
+    rows.append((151, Vectors.sparse(TERMS, [], [])))
+    return checkpointed(dealt(spark.createDataFrame(rows, ["id", "features"]), ["id"]))
+
+
+@pytest.fixture(scope="module")
+def graph(vectors):
+    return LDA(k=3, maxIter=12, optimizer="em", seed=5, checkpointInterval=4).fit(vectors)
+
+
+@pytest.mark.parametrize("block_entries", [topic_counts.BLOCK_ENTRIES, 300])
+def test_counts_equal_those_of_the_graph(vectors, graph, block_entries, monkeypatch):
+    monkeypatch.setattr(topic_counts, "CHUNK_ENTRIES", 25)
+    got = topic_counts.fit(vectors, 3, 12, 5, 4, block_entries)
+    counts = np.zeros((TERMS, 3))
+    for r in got.terms.collect():
+        counts[r.idx] = r.counts
+    assert np.allclose(counts, graph.topicsMatrix().toArray())
+    assert np.allclose(got.totals, counts.sum(0))
+
+
+def test_model_reports_as_sparks_own(spark, vectors, graph):
+    model = topics.fit_lda(vectors, 3, 12, seed=5, checkpoint_interval=4)
+    assert isinstance(model, topics.EmModel)  # not Spark's, which moves a graph in each iteration
+    want = {r.topic: r for r in graph.describeTopics(7).collect()}
+    for r in model.describeTopics(7).collect():
+        assert r.termIndices == want[r.topic].termIndices
+        assert np.allclose(r.termWeights, want[r.topic].termWeights)
+    mixtures = {r.id: r.topicDistribution.toArray() for r in graph.transform(vectors).collect()}
+    got = {r.id: r.topicDistribution.toArray() for r in model.transform(vectors).collect()}
+    assert got.keys() == mixtures.keys() and all(np.allclose(got[i], mixtures[i], atol=1e-3) for i in got)
+
+
+def test_random_numbers_of_java():
+    # new java.util.Random(42): the first two of nextDouble
+    state = (42 ^ 0x5DEECE66D) & ((1 << 48) - 1)
+    assert topic_counts.java_doubles(state, 2).tolist() == [0.7275636800328681, 0.6832234717598454]
+    later = topic_counts.java_doubles(topic_counts.advanced(state, 2 * 7), 3)
+    assert later.tolist() == topic_counts.java_doubles(state, 10)[7:].tolist()
