@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from minekit.operators.scale import checkpoint_root, checkpointed, ship_package
 
 BLOCK_ENTRIES = 5_000_000  # (document, term) entries of a block, 60 MB
+SMALL_ENTRIES = 100_000  # no block for each core below this
 CHUNK_ENTRIES = 500_000  # entries worked on at a time
 _KEPT = StorageLevel.MEMORY_AND_DISK
 _MASK = (1 << 48) - 1
@@ -179,7 +180,8 @@ def fit(
         lambda part, found: ((part, p) for p in _pieces(part, found, k, seed))
     ).persist(_KEPT)
     entries, parts = pieces.map(lambda p: len(p[1][2])).sum(), pieces.getNumPartitions()
-    n = min(parts, max(sc.defaultParallelism, -(-entries // block_entries)))
+    n = max(min(sc.defaultParallelism, -(-entries // SMALL_ENTRIES)), -(-entries // block_entries), 1)
+    n = min(parts, n)
     # everything is dealt by the number of a block or a shard, so the joins below move nothing
     first = pieces.map(lambda p: (p[0] * n // parts, p)).groupByKey(n).mapValues(lambda p: _block(p, k, n)).persist(_KEPT)
     blocks = first.mapValues(lambda b: b[0]).persist(_KEPT)
