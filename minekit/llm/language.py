@@ -158,10 +158,15 @@ def build(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Trees | None:
     return Trees(languages, c1, m2, c2, m3, m4, c4, e3)
 
 
-def _chosen(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_train: int, held: bool) -> DataFrame:
-    """``(lang, text)`` of at most ``max_train`` ids of each language, of the held-out ids or of the others."""
+def _taught(df: DataFrame, id_col: str, text_col: str, lang_col: str, held: bool) -> DataFrame:
+    """``(id, lang, text)`` of the rows with text and language, of the held-out ids or of the others."""
     rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    fit = rows.where((held_out("id") == held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return rows.where((held_out("id") == held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+def _chosen(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_train: int) -> DataFrame:
+    """``(lang, text)`` of at most ``max_train`` ids of each language that are not held out."""
+    fit = _taught(df, id_col, text_col, lang_col, held=False)
     order = (F.xxhash64("id"), "id")
     ids = fit.select("id", "lang", (F.spark_partition_id() % RANK_PARTS).alias("part"))
     # each input partition gives max_train ids a language at most; these are ranked within groups of input
@@ -187,7 +192,7 @@ def train(
     the counts up, and only the sums come to the driver. Documents without text, language or id
     teach nothing.
     """
-    texts = _chosen(df, id_col, text_col, lang_col, max_train, held=False)
+    texts = _chosen(df, id_col, text_col, lang_col, max_train)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -243,14 +248,19 @@ def usual_bits(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    max_train: int = MAX_TRAIN,
 ) -> dict[str, float]:
-    """Bits per byte of the median text of each predicted language, from held-out texts that train never sees.
+    """Bits per byte of the median text of each predicted language, from all held-out texts, which train never sees.
 
-    At most ``max_train`` of each language are asked; a language that none of them has is left out.
+    A language that none of them has is left out.
     """
-    told = predict(_chosen(df, id_col, text_col, lang_col, max_train, held=True), trees, "text")
-    medians = told.select("language.*").groupBy("lang_pred").agg(F.median("bits").alias("m"))
+    asked = _taught(df, id_col, text_col, lang_col, held=True).where(F.col("id").isNotNull()).select("text")
+    told = predict(asked, trees, "text").select("language.*")
+    # the middle by rank: sorted rows go to disk if they are many, the counts of a median stay in memory
+    of_lang = Window.partitionBy("lang_pred")
+    at, n = F.row_number().over(of_lang.orderBy("bits")), F.count(F.lit(1)).over(of_lang)
+    ranked = told.select("lang_pred", "bits", at.alias("at"), n.alias("n"))
+    middle = ranked.where((F.col("at") * 2 >= F.col("n")) & (F.col("at") * 2 <= F.col("n") + 2))
+    medians = middle.groupBy("lang_pred").agg(F.avg("bits").alias("m"))
     # texts without a language go here: a filter would be pushed below the prediction and ask for it twice, and a
     # task then holds two Python workers, both of which stay for the stages behind
     return {r.lang_pred: r.m for r in medians.collect() if r.lang_pred != UNKNOWN}

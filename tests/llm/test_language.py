@@ -101,3 +101,18 @@ def test_held_out_texts_are_predicted_once(spark, monkeypatch, capsys):
     asked[-1].explain()
     # a second one would hold a second Python worker in each task, which stays
     assert capsys.readouterr().out.split("Initial Plan")[0].count("ArrowEvalPython") == 1
+
+
+def test_usual_bits_asks_every_held_out_text(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, "".join(rng.choice(list("abc xyzäß"), 20 + i % 30)), "en" if i % 3 else "de") for i in range(3000)]
+    rows += [(None, "abc", "en"), (3000, "zz", None), (3001, None, "de")] + rows[:7]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language.train(docs)
+    asked = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    bits = {}
+    for r in language.identify(asked, trees).where("held_out").collect():
+        bits.setdefault(r.lang_pred, []).append(r.bits)
+    assert sum(map(len, bits.values())) > 2 * language.MAX_TRAIN
+    want = {k: float(np.median(v)) for k, v in bits.items() if k != language.UNKNOWN}
+    assert language.usual_bits(docs, trees) == pytest.approx(want, rel=1e-12)
