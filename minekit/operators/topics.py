@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
+from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseMatrix, DenseVector, Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from minekit.operators import topic_counts
-from minekit.operators.scale import checkpoint_root, scratch_path
-
-GAMMA_SHAPE = 100.0  # of Spark's models by EM
+from minekit.operators import topic_counts, topic_mixtures
+from minekit.operators.scale import checkpoint_root
 
 
 @dataclass(frozen=True)
@@ -22,8 +18,6 @@ class EmModel:
     """Topics by EM, with the two methods of ``LDAModel`` that the reports need."""
 
     counts: topic_counts.TopicCounts
-    k: int
-    seed: int
 
     def describeTopics(self, maxTermsPerTopic: int = 10) -> DataFrame:
         """``(topic, termIndices, termWeights)``: found in the table of terms, none of it on the driver."""
@@ -40,23 +34,7 @@ class EmModel:
 
     def transform(self, dataset: DataFrame) -> DataFrame:
         """``dataset`` with ``topicDistribution``, as Spark's own model infers it from the counts."""
-        return self.local().transform(dataset)
-
-    def local(self) -> LocalLDAModel:
-        """Spark's model of these counts; like every one of Spark's it holds topics x terms on the driver."""
-        spark = self.counts.terms.sparkSession
-        found = self.counts.terms.toArrow()
-        matrix = np.zeros((self.counts.size, self.k))
-        matrix[found["idx"].to_numpy()] = found["counts"].combine_chunks().flatten().to_numpy().reshape(-1, self.k)
-        # a saved model whose topics are replaced: there is no other public way to one with given topics
-        path = scratch_path(spark, "lda")
-        any_text = spark.createDataFrame([(Vectors.sparse(1, [0], [1.0]),)], ["features"])
-        LDA(k=self.k, maxIter=1, optimizer="online", seed=self.seed).fit(any_text).write().save(path)
-        schema = spark.read.parquet(f"{path}/data").schema
-        topics = DenseMatrix(self.counts.size, self.k, matrix.ravel(), isTransposed=True)
-        row = (self.counts.size, topics, DenseVector([self.counts.alpha] * self.k), self.counts.eta, GAMMA_SHAPE)
-        spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
-        return LocalLDAModel.load(path).setSeed(self.seed).setFeaturesCol("features")
+        return topic_mixtures.mixtures(dataset, self.counts)
 
 
 def fit_lda(
@@ -70,7 +48,7 @@ def fit_lda(
     """Fit LDA on ``(id, features)``; pass a checkpointed frame, the fit leans on it."""
     checkpoint_root(vectors.sparkSession)
     if optimizer == "em":
-        return EmModel(topic_counts.fit(vectors, k, max_iter, seed, checkpoint_interval), k, seed)
+        return EmModel(topic_counts.fit(vectors, k, max_iter, seed, checkpoint_interval))
     lda = LDA(
         k=k,
         maxIter=max_iter,

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.clustering import LDA
 from pyspark.ml.linalg import Vectors
 
-from minekit.operators import topic_counts, topics
+from minekit.operators import topic_counts, topic_mixtures, topics
 from minekit.operators.scale import checkpointed, dealt
 
 TERMS = 60
@@ -57,3 +57,30 @@ def test_random_numbers_of_java():
     assert topic_counts.java_doubles(state, 2).tolist() == [0.7275636800328681, 0.6832234717598454]
     later = topic_counts.java_doubles(topic_counts.advanced(state, 2 * 7), 3)
     assert later.tolist() == topic_counts.java_doubles(state, 10)[7:].tolist()
+
+
+@pytest.mark.parametrize("block_entries", [topic_mixtures.BLOCK_ENTRIES, 40])
+def test_mixtures_equal_those_of_sparks_model_without_a_matrix_on_the_driver(vectors, graph, block_entries, monkeypatch):
+    monkeypatch.setattr(topic_mixtures, "CHUNK_ENTRIES", 25)
+    counts = topic_counts.fit(vectors, 3, 12, 5, 4)
+    twice = vectors.unionByName(vectors.where("id < 5"))
+    local = graph.toLocal()
+    seed = local._java_obj.oldLocalModel().seed()  # drawn anew for each model
+    want = sorted((r.id, r.topicDistribution.toArray().tolist()) for r in local.transform(twice).collect())
+    collected = []
+    for way in ("toArrow", "toPandas", "collect"):
+        real = getattr(type(vectors), way)
+        monkeypatch.setattr(type(vectors), way, lambda df, real=real: collected.append(real(df)) or collected[-1])
+    out = topic_mixtures.mixtures(twice, counts, seed, block_entries)
+    assert sum(map(len, collected)) <= 1 and out.columns == ["id", "features", "topicDistribution"]
+    got = sorted((r.id, r.topicDistribution.toArray().tolist()) for r in out.collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and len(got) == 157
+    assert np.allclose([m for _, m in got], [m for _, m in want], rtol=0, atol=1e-8)
+    assert got[-1][1] == [0.0] * 3 and {str(r.features) for r in out.collect()} == {str(r.features) for r in twice.collect()}
+
+
+def test_digamma():
+    # of 1, 1/2 and 10; and of the numbers between by their recurrence
+    assert topic_mixtures.digamma(np.array([1, 0.5, 10])) == pytest.approx([-0.5772156649015329, -1.9635100260214235, 2.251752589066721], rel=1e-13)
+    x = np.geomspace(1e-6, 1e6, 50)
+    assert topic_mixtures.digamma(x + 1) - topic_mixtures.digamma(x) == pytest.approx(1 / x, rel=1e-9, abs=1e-12)
